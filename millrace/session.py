@@ -1,0 +1,29 @@
+"""Session settings the operators rely on."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+
+def build_session(app: str = "millrace", master: str | None = None, **conf: str) -> SparkSession:
+    """A session with adaptive execution and UTC; further settings by keyword.
+
+    Leave ``master`` unset on a cluster, where spark-submit names it.
+    """
+    builder = (
+        SparkSession.builder.appName(app)
+        .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.session.timeZone", "UTC")
+    )
+    if master:
+        builder = builder.master(master)
+    for key, value in conf.items():
+        builder = builder.config(key.replace("__", "."), value)
+    return builder.getOrCreate()
+
+
+def use_utc(spark: SparkSession) -> SparkSession:
+    """Naive timestamps are read as UTC everywhere in this library."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return spark
