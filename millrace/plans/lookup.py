@@ -37,19 +37,21 @@ def join_small(df: DataFrame, small: DataFrame, on: Sequence[str], how: str = "i
     return df.join(F.broadcast(small), list(on), how)
 
 
-def salted_semi_join(df: DataFrame, keys: DataFrame, on: Sequence[str], salts: int = 16) -> DataFrame:
-    """Null-safe semi join that spreads every key over ``salts`` tasks.
+def salted_semi_join(
+    df: DataFrame, keys: DataFrame, on: Sequence[str], spread_by: Sequence[str], salts: int = 16
+) -> DataFrame:
+    """Null-safe semi join that deals the rows of a hot key out to ``salts`` tasks.
 
-    ``keys`` holds each key once, so it is the side that is repeated; the rows of a
-    hot key on the left are dealt out by a hash of the whole row's position-free key
-    and a per-row salt, never collected in one task.
+    ``keys`` holds each key once, so it is the side that is repeated.  ``spread_by``
+    are columns that differ between rows of one key, such as a row id.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[col(c) for c in df.columns]), F.lit(salts)).cast("int"))
+    salt = F.pmod(F.xxhash64(*[col(c) for c in spread_by]), F.lit(salts)).cast("int")
+    salted = df.withColumn("_salt", salt)
     spread = keys.select(
         *[col(c).alias(f"_k{i}") for i, c in enumerate(on)],
         F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_ksalt"),
     )
-    condition = salted["_salt"] == spread["_ksalt"]
+    condition = F.col("_salt") == F.col("_ksalt")
     for i, c in enumerate(on):
-        condition = condition & salted[f"`{c}`"].eqNullSafe(spread[f"_k{i}"])
+        condition = condition & col(c).eqNullSafe(F.col(f"_k{i}"))
     return salted.join(spread, condition, "left_semi").drop("_salt")

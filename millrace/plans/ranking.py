@@ -15,15 +15,16 @@ _POSITION_BITS = 33  # fixed: layout of monotonically_increasing_id
 def row_index(df: DataFrame, order_by: Sequence[str], name: str = "row_idx") -> DataFrame:
     """Add the 0-based position of each row in the order of ``order_by``.
 
-    The order must be total (end it with a unique key).  One range sort spreads the
+    Without ``order_by`` rows keep the order in which they are read.  Otherwise the
+    order must be total (end it with a unique key).  One range sort spreads the
     rows evenly whatever the distribution of the keys; the sorted rows are written
     with their partition and position, and the start of each partition is a running
     sum over one row per partition.
     """
     mid = F.monotonically_increasing_id()
+    ordered = df.orderBy(*[col(c) for c in order_by]) if order_by else df
     placed = (
-        df.orderBy(*[col(c) for c in order_by])
-        .withColumn("_mid", mid)
+        ordered.withColumn("_mid", mid)
         .withColumn("_part", F.shiftright("_mid", _POSITION_BITS))
         .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1)))
         .drop("_mid")
