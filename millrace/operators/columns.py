@@ -61,17 +61,19 @@ def column_profile(df: DataFrame, exact_distinct: bool = False) -> DataFrame:
 def distinct_counts(df: DataFrame, null_counts: bool = False) -> DataFrame:
     """Exact number of distinct values of every column.
 
-    (column, value hash pair) is grouped first, so equal values merge before the
-    shuffle and no column ends up in one task.  128 bits of hash stand for the value.
+    Column and value hash are grouped first, so equal values merge before the shuffle
+    and no column ends up in one task.  128 bits of hash stand for the value.
     """
     cells = []
     for f in df.schema:
         value = col(f.name)
-        text = value.cast("string") if not isinstance(f.dataType, (T.ArrayType, T.StructType)) else F.to_json(
-            F.struct(value.alias("v"))
-        )
-        cells.append(F.struct(F.lit(f.name).alias("column"), F.md5(text.cast("binary")).alias("v")))
-    values = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").groupBy("column", "v").agg(
+        seen = value.isNotNull()
+        cells.append(F.struct(
+            F.lit(f.name).alias("column"),
+            F.when(seen, F.xxhash64(value)).alias("v"),
+            F.when(seen, F.xxhash64(F.lit(1), value)).alias("w"),
+        ))
+    values = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").groupBy("column", "v", "w").agg(
         F.lit(1).alias("one")
     )
     counted = F.count("*") if null_counts else F.count("v")
