@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..plans.hashed import flag_lowest, hash_text
 from ..plans.names import col
 from ..plans.quantile import quantiles
+from ..plans.ranking import row_count
 from ..plans.scratch import written
 
 # Fixed values.
@@ -66,17 +67,28 @@ def _grow(columns: list[str], seed: int, tree_rows: int):
 def grow_forest(
     df: DataFrame, row_key: str, columns: Sequence[str], trees: int = TREES, tree_rows: int = TREE_ROWS, seed: int = 42
 ) -> DataFrame:
-    """Nodes of all trees: at most ``trees * 2 * tree_rows`` rows whatever the input."""
+    """Nodes of all trees: at most ``trees * 2 * tree_rows`` rows whatever the input.
+
+    One random order of at most ``trees * tree_rows`` rows is dealt out in slices; a
+    smaller table starts again from its first row as often as needed.
+    """
     columns = list(columns)
+    slots = trees * tree_rows
     complete = df.select(col(row_key).alias("row_key"), *[col(c).cast("double").alias(c) for c in columns]).dropna()
-    pool = flag_lowest(complete, ["row_key"], seed, F.lit(trees * tree_rows), "_in").filter("_in").drop("_in")
+    pool = flag_lowest(complete, ["row_key"], seed, F.lit(slots), "_in").filter("_in").drop("_in")
     pool = written(pool, "forest-pool")
-    order = Window.partitionBy("tree").orderBy(hash_text(seed, F.col("tree"), F.col("row_key")), "row_key")
+    # at most ``slots`` rows, so one task can number them
+    place = F.row_number().over(Window.orderBy(hash_text(seed, F.col("row_key")), "row_key")) - 1
+    n = row_count(pool).cast("int")
+    per_tree = F.least(n, F.lit(tree_rows))
     samples = (
-        pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        .withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= tree_rows).drop("_rn")
+        pool.withColumn("_place", place)
+        .withColumn("_slot", F.explode(F.sequence(F.col("_place"), F.lit(trees) * per_tree - 1, n)))
+        .withColumn("tree", F.floor(F.col("_slot") / per_tree).cast("int"))
+    )
+    return samples.select("row_key", "tree", *[col(c) for c in columns]).groupBy("tree").applyInPandas(
+        _grow(columns, seed, tree_rows), _NODES
     )
-    return samples.groupBy("tree").applyInPandas(_grow(columns, seed, tree_rows), _NODES)
 
 
 def score_rows(df: DataFrame, forest: DataFrame, columns: Sequence[str], name: str = "score") -> DataFrame:

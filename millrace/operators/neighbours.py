@@ -226,7 +226,7 @@ def _search_others(routes: DataFrame, members: DataFrame, k: int, schema: str) -
     blocks = routes.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).filter(
         (F.col("cell") != F.col("from_cell")) | (F.col("sub") != F.col("from_sub"))
     )
-    met = blocks.select(*pair).distinct()
+    met = blocks.select("grp", "cell", "sub", F.col("from_cell").alias("fc"), F.col("from_sub").alias("fs")).distinct()
     targets = members.select("grp", "cell", "sub", "key", "v").join(met, ["grp", "cell", "sub"])
 
     def search(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
@@ -235,5 +235,7 @@ def _search_others(routes: DataFrame, members: DataFrame, k: int, schema: str) -
         return _closest(queries["grp"].iloc[0], queries, block, k)
 
     left = blocks.select(*pair, "key", "v").groupBy(*pair)
-    right = targets.select(*pair, "key", "v").groupBy(*pair)
+    right = targets.select(
+        "grp", "cell", "sub", F.col("fc").alias("from_cell"), F.col("fs").alias("from_sub"), "key", "v"
+    ).groupBy(*pair)
     return left.cogroup(right).applyInPandas(search, schema)

@@ -10,7 +10,7 @@ from ..plans.lookup import attach_row
 from ..plans.names import col
 from ..plans.quantile import quantiles
 from .columns import numeric_columns
-from .stats import at_least_distinct
+from .stats import four_distinct
 
 
 def zscore_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -20,10 +20,9 @@ def zscore_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     ])
 
 
-def iqr_stats(df: DataFrame, columns: Sequence[str], threshold: float, least_distinct: int = 4) -> DataFrame:
+def iqr_stats(df: DataFrame, columns: Sequence[str], threshold: float) -> DataFrame:
     """One row: fences of every column, null where too few distinct values make them unreliable."""
-    guard = df.agg(*[at_least_distinct(col(c), least_distinct).alias(c) for c in columns])
-    data = attach_row(quantiles(df, columns, [0.25, 0.75]), guard, "_guard")
+    data = attach_row(quantiles(df, columns, [0.25, 0.75]), four_distinct(df, columns), "_guard")
 
     def fences(c: str) -> Column:
         q1, q3 = F.get(col(c), F.lit(0)), F.get(col(c), F.lit(1))

@@ -61,24 +61,41 @@ def quartiles(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     })
 
 
-def at_least_distinct(value: Column, n: int) -> Column:
-    """Aggregate: does the column hold at least ``n`` different values, null being one?
+def four_distinct(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row: does each column hold at least four different values, null being one?
 
-    For a handful of values the estimate can only be short, and only when two of them
-    share a register; three independent hashes all doing so is a matter of 1e-9.
+    Exact and without a set of values: with the extremes known, four values exist if the
+    second smallest is below the second largest.  Two scans of minima and maxima.
     """
-    estimates = [F.approx_count_distinct(value, 0.02)] + [
-        F.approx_count_distinct(F.xxhash64(F.lit(salt), value), 0.02) for salt in (1, 2)
-    ]
-    # the salted hashes already count null as a value
-    has_null = F.max(value.isNull().cast("int"))
-    return F.greatest(estimates[0] + has_null, *estimates[1:]) >= n
+    columns = list(columns)
+    ends = df.agg(*[
+        F.struct(F.min(col(c)).alias("low"), F.max(col(c)).alias("high"),
+                 F.max(col(c).isNull().cast("int")).alias("holes")).alias(c)
+        for c in columns
+    ])
+    inner = attach_row(df.select(*[col(c) for c in columns]), ends, "_ends")
+
+    def end(c: str, name: str) -> Column:
+        return F.col("_ends").getField(c).getField(name)
+
+    within = inner.agg(*[
+        F.struct(F.min(F.when(col(c) > end(c, "low"), col(c))).alias("second"),
+                 F.max(F.when(col(c) < end(c, "high"), col(c))).alias("last_but_one")).alias(c)
+        for c in columns
+    ])
+
+    def enough(c: str) -> Column:
+        second, last = col(c).getField("second"), col(c).getField("last_but_one")
+        steps = [end(c, "low").isNotNull(), second.isNotNull(), second < end(c, "high"), second < last]
+        count = sum((F.coalesce(s, F.lit(False)).cast("int") for s in steps), F.coalesce(end(c, "holes"), F.lit(0)))
+        return (count >= 4).alias(c)
+
+    return attach_row(within, ends, "_ends").select(*[enough(c) for c in columns])
 
 
-def distinct_guard(df: DataFrame, columns: Sequence[str] | None = None, least: int = 4) -> DataFrame:
+def distinct_guard(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     chosen = list(numeric_columns(df) if columns is None else columns)
-    row = df.agg(*[at_least_distinct(col(c), least).alias(f"g{i}") for i, c in enumerate(chosen)])
-    return _long(row, chosen, {"enough": lambda i, c: F.col(f"g{i}")})
+    return _long(four_distinct(df, chosen), chosen, {"enough": lambda i, c: col(c)})
 
 
 def histogram_2d(df: DataFrame, x: str, y: str, bins: int = 50) -> DataFrame:
