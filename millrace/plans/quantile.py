@@ -28,6 +28,7 @@ class _Bracket:
     low: float
     high: float
     below: int = 0
+    rows_between: int | None = None
     slack: float = 2.0
 
 
@@ -72,7 +73,10 @@ def quantiles(
 def _first_brackets(data, sizes, probs, accuracy) -> list[_Bracket]:
     filled = [c for c, n in sizes.items() if n]
     margin = 2.0 / accuracy
-    ends = _approx(data, [(col(c), [p + s for p in probs for s in (-margin, margin)]) for c in filled], accuracy)
+    # the p-th percentile of n values is the one with rank ceil(p * n), counted from 1
+    ends = _approx(data, [
+        (col(c), [p + s for p in probs for s in (-margin - 1 / sizes[c], margin + 2 / sizes[c])]) for c in filled
+    ], accuracy)
     brackets = []
     for c, values in zip(filled, ends):
         for i, p in enumerate(probs):
@@ -98,12 +102,14 @@ def _narrow(data, brackets, buffer_limit, accuracy) -> list[_Bracket]:
         if not (below <= b.low_rank and b.high_rank < below + inside):
             # the estimate was off: start again from the whole column
             b.slack *= 2
-            b.low, b.high = float("-inf"), float("inf")
+            b.low, b.high, b.rows_between = float("-inf"), float("inf"), None
             wide.append((b, 0, None))
-        elif strict + 2 > buffer_limit:
+            continue
+        shrinking = b.rows_between is None or strict < b.rows_between
+        b.below, b.rows_between = below, strict
+        # a bracket that no longer shrinks is ranked as it is: slower, never wrong
+        if strict + 2 > buffer_limit and shrinking:
             wide.append((b, below, inside))
-        else:
-            b.below = below
     if not wide:
         return []
     wanted = []
@@ -111,7 +117,7 @@ def _narrow(data, brackets, buffer_limit, accuracy) -> list[_Bracket]:
         size = inside if inside is not None else data.filter(col(b.column).isNotNull()).count()
         margin = b.slack / accuracy
         wanted.append((F.when(_inside(b), col(b.column)),
-                       [(b.low_rank - below) / size - margin, (b.high_rank - below) / size + margin]))
+                       [(b.low_rank - below) / size - margin, (b.high_rank - below + 1) / size + margin]))
     for (b, _, _), (low, high) in zip(wide, _approx(data, wanted, accuracy)):
         b.low, b.high = low, high
     return [b for b, _, _ in wide]
