@@ -62,11 +62,15 @@ def split_counts(t):
     return stats.split_counts(t.orders.select(split.alias("split")))
 
 
-@query("hist2d", """
+def _bin(x: str, low: str, high: str) -> str:
+    """Number of inner edges at or below the value."""
+    return " + ".join(f"CAST({x} >= {low} + {i} * (({high} - {low}) / 50) AS INTEGER)" for i in range(1, 50))
+
+
+@query("hist2d", f"""
     WITH v AS (SELECT value AS x, CAST(json_extract_string(props, '$.k') AS DOUBLE) * 3.6::DOUBLE AS y FROM events),
     e AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM v)
-    SELECT CAST(least(49, floor((x - x0) / (x1 - x0) * 50)) AS INTEGER) AS bx,
-           CAST(least(49, floor((y - y0) / (y1 - y0) * 50)) AS INTEGER) AS "by", count(*) AS n
+    SELECT {_bin("x", "x0", "x1")} AS bx, {_bin("y", "y0", "y1")} AS "by", count(*) AS n
     FROM v, e GROUP BY bx, "by" """)
 def hist2d(t):
     degrees = F.get_json_object("props", "$.k").cast("double") * 3.6
@@ -83,7 +87,7 @@ def dist_summary(t):
 
 @query("column_histograms", " UNION ALL ".join(
     f"""SELECT '{c}' AS "column",
-        CAST(least(49, floor(({c} - lo) / (hi - lo) * 50)) AS INTEGER) AS bin, count(*) AS n
+        {_bin(c, "lo", "hi")} AS bin, count(*) AS n
         FROM lineitem, (SELECT min({c}) AS lo, max({c}) AS hi FROM lineitem) GROUP BY 1, 2""" for c in MEASURES))
 def column_histograms(t):
     return stats.column_histograms(t.lineitem, MEASURES)

@@ -137,19 +137,21 @@ def long_metrics(scored: DataFrame, strategy: str, y_true: str, y_pred: str = "y
 
 def compare_strategies(
     train: DataFrame, test: DataFrame, features: Sequence[str], label: str, order_by: Sequence[str],
-    undersampled: DataFrame, oversampled: DataFrame, threshold: float = CHOSEN_THRESHOLD, **options
+    undersampled: DataFrame, oversampled: DataFrame, threshold: float = CHOSEN_THRESHOLD,
+    tol: float = TOLERANCE, max_iter: int = MAX_ITER, **options
 ) -> DataFrame:
     """Judge undersampling, plain training, a raised threshold and oversampling on one test table.
 
     ``undersampled`` has a ``split`` column; its test part is judged as well.
     """
-    balanced = undersampled.filter("split = 'train'")
-    c_under = select_strength(balanced, features, label, order_by, **options)
-    under = fit_logistic(balanced, features, label, c_under)
-    c_plain = select_strength(train, features, label, order_by, **options)
-    plain = fit_logistic(train, features, label, c_plain)
-    c_over = select_strength(oversampled, features, label, order_by, **options)
-    over = fit_logistic(oversampled, features, label, c_over)
+
+    def tuned(rows: DataFrame) -> PipelineModel:
+        C = select_strength(rows, features, label, order_by, tol=tol, max_iter=max_iter, **options)
+        return fit_logistic(rows, features, label, C, tol, max_iter)
+
+    under = tuned(undersampled.filter("split = 'train'"))
+    plain = tuned(train)
+    over = tuned(oversampled)
 
     on_test = predict(under, test)
     raised = on_test.withColumn("y_pred", (F.col("p1") > threshold).cast("int"))

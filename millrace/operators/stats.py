@@ -113,10 +113,18 @@ def histogram_2d(df: DataFrame, x: str, y: str, bins: int = 50) -> DataFrame:
 
 
 def bin_index(value: Column, low: Column, high: Column, bins: int) -> Column:
-    """Equal-width bin; a column of one value lies in the middle, as its range is ±0.5."""
+    """Equal-width bin; a column of one value lies in the middle, as its range is ±0.5.
+
+    Edges are ``low + i * width / bins``; dividing may miss one by rounding, so the bin
+    is checked against its own edges.
+    """
     width = high - low
-    at = F.when(width == 0, F.lit(bins // 2)).otherwise(F.floor((value - low) / F.nullif(width, F.lit(0.0)) * bins))
-    return F.least(F.lit(bins - 1), at).cast("int")
+    step = width / bins
+    guess = F.floor((value - low) / F.nullif(step, F.lit(0.0)))
+    exact = (
+        guess + (value >= low + (guess + 1) * step).cast("int") - (value < low + guess * step).cast("int")
+    )
+    return F.least(F.lit(bins - 1), F.when(width == 0, F.lit(bins // 2)).otherwise(exact)).cast("int")
 
 
 def distribution_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
