@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.repair import day_first_timestamp
-from ..operators import cleaning, columns
+from ..operators import cleaning, columns, joins
 from ..plans.names import clean_zero
 from ..sources.files import union_by_name
 from .registry import query
@@ -217,7 +217,7 @@ def step_audit(t):
 def join_row_id(t):
     features = t.orders.select("o_orderkey", "o_totalprice", "o_orderdate")
     labels = t.orders.filter("o_orderstatus <> 'F'").select("o_orderkey", "o_orderstatus")
-    return features.join(labels, "o_orderkey")
+    return joins.join_on_row_id(features, labels, "o_orderkey")
 
 
 @query("concat_columns", """
@@ -228,7 +228,7 @@ def join_row_id(t):
 def concat_columns(t):
     left = t.orders.filter("o_orderstatus <> 'P'").select("o_orderkey", "o_totalprice")
     right = t.orders.filter("o_orderstatus <> 'F'").select("o_orderkey", "o_orderpriority")
-    return left.join(right, "o_orderkey", "full_outer")
+    return joins.concat_columns(left, right, "o_orderkey")
 
 
 @query("semi_lookup", """
@@ -236,7 +236,15 @@ def concat_columns(t):
     WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)""")
 def semi_lookup(t):
     wanted = t.orders.filter("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
-    return t.customer.select("c_custkey", "c_acctbal").join(wanted, "c_custkey", "left_semi")
+    return joins.rows_with_ids(t.customer.select("c_custkey", "c_acctbal"), wanted, "c_custkey")
+
+
+@query("anti_lookup", """
+    SELECT c_custkey, c_acctbal FROM customer
+    WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)""")
+def anti_lookup(t):
+    wanted = t.orders.filter("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
+    return joins.rows_without_ids(t.customer.select("c_custkey", "c_acctbal"), wanted, "c_custkey")
 
 
 @query("union_by_name", """

@@ -78,21 +78,27 @@ def fold_scores(
     one pass.  ``balance`` is applied to the training folds only, so that no drawn or
     made-up row reaches the fold it is judged on.
     """
-    folds = [r[0] for r in df.select(fold).distinct().orderBy(fold).collect()]  # k numbers
+    spark = df.sparkSession
+    ready = written(
+        assemble(df, features).select("features", col(label).cast("double").alias(label), fold), "cv-rows"
+    )
+    sizes = {r[fold]: r["n"] for r in ready.groupBy(fold).agg(F.count("*").alias("n")).collect()}  # k numbers
+    folds = sorted(sizes)
 
     def run(number: int) -> list[tuple]:
-        train = df.filter(col(fold) != number)
-        if balance is not None:
-            train = balance(train)
-        train = written(
-            assemble(train, features).select("features", col(label).cast("double").alias(label)), "cv-train"
-        )
-        n = train.count()
-        scored = assemble(df.filter(col(fold) == number), features).select("features", label)
+        if balance is None:
+            train, n = ready.filter(col(fold) != number), sum(sizes.values()) - sizes[number]
+        else:
+            balanced = balance(df.filter(col(fold) != number))
+            train = assemble(balanced, features).select("features", col(label).cast("double").alias(label))
+            n = train.count()
+        train = train.select("features", label).persist()
+        scored = ready.filter(col(fold) == number)
         for i, C in enumerate(strengths):
             model = _estimator(label, C, n, tol, max_iter).fit(train)
             model.setPredictionCol(f"p{i}").setProbabilityCol("").setRawPredictionCol("")
             scored = model.transform(scored)
+        train.unpersist()
         recalls = []
         for i, _ in enumerate(strengths):
             counts = confusion_counts(label, f"p{i}")
@@ -102,7 +108,7 @@ def fold_scores(
 
     with ThreadPool(max(1, min(parallelism, len(folds)))) as pool:
         parts = pool.map(run, folds)
-    return df.sparkSession.createDataFrame([r for part in parts for r in part], "C double, fold int, recall double")
+    return spark.createDataFrame([r for part in parts for r in part], "C double, fold int, recall double")
 
 
 def strength_table(scores: DataFrame) -> DataFrame:

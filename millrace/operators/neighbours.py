@@ -20,10 +20,10 @@ from ..plans.lookup import checked_small
 from ..plans.names import col
 from ..plans.scratch import written
 
-MAX_PIVOTS = 256
 MAX_GROUPS = 1_000
+MAX_PIVOTS = 4_096  # over all groups together
 TIE_PLACES = 9  # distances equal to so many places are ties, broken by key
-_QUERY_ROWS = 64
+_CHUNK_CELLS = 4_000_000  # doubles held at once while distances are computed
 _COPY_SALTS = 16
 
 
@@ -117,8 +117,9 @@ def _sub(key: str, subs):
 
 
 def _pivots(points: DataFrame, sizes: DataFrame, block_rows: int) -> list:
-    """A few points per group; at most MAX_PIVOTS each, so small enough for every task."""
-    count = F.least(F.lit(MAX_PIVOTS), F.ceil(F.col("n") / block_rows)).cast("bigint")
+    """A few points of each group; together at most MAX_PIVOTS, or one per group."""
+    share = max(1, MAX_PIVOTS // max(1, sizes.count()))
+    count = F.least(F.lit(share), F.ceil(F.col("n") / block_rows)).cast("bigint")
     quota = sizes.select("grp", count.alias("k"))
     rows = flag_lowest_by(points, ["grp"], ["key"], "pivot", quota, "chosen").filter("chosen").collect()
     by_group: dict = {}
@@ -134,15 +135,14 @@ def _place(points: DataFrame, pivots: list, block_rows: int) -> DataFrame:
     def assign(batches):
         for batch in batches:
             for g, part in batch.groupby("grp"):
-                gaps = _gaps(np.stack(part["v"].to_numpy()), lookup[g])
-                cell = gaps.argmin(axis=1)
-                yield part.assign(cell=cell.astype("int32"), off=gaps[np.arange(len(cell)), cell])
+                for rows, gaps in _gaps(np.stack(part["v"].to_numpy()), lookup[g]):
+                    yield part.iloc[rows].assign(cell=gaps.argmin(axis=1).astype("int32"), off=gaps.min(axis=1))
 
     fields = points.schema
     grp = fields["grp"].dataType.simpleString()
     placed = points.mapInPandas(assign, f"grp {grp}, key bigint, v array<double>, cell int, off double")
     placed = written(placed, "knn-placed")
-    # at most MAX_PIVOTS rows per group of a checked list
+    # no more cells than pivots
     subs = placed.groupBy("grp", "cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("subs"))
     return placed.join(F.broadcast(subs), ["grp", "cell"])
 
@@ -153,29 +153,29 @@ def _cells(placed: DataFrame) -> list:
     ).collect()
 
 
-def _gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Distances between the rows of two matrices, a slice of queries at a time."""
-    out = np.empty((len(a), len(b)))
-    for start in range(0, len(a), _QUERY_ROWS):
-        diff = a[start:start + _QUERY_ROWS, None, :] - b[None, :, :]
-        out[start:start + _QUERY_ROWS] = np.sqrt(np.einsum("qmd,qmd->qm", diff, diff))
-    return out
+def _gaps(a: np.ndarray, b: np.ndarray):
+    """Distances between the rows of two matrices: ``(slice of a, distances)`` in bounded pieces."""
+    step = max(1, _CHUNK_CELLS // max(1, b.size))
+    for start in range(0, len(a), step):
+        rows = slice(start, start + step)
+        diff = a[rows, None, :] - b[None, :, :]
+        yield rows, np.sqrt(np.einsum("qmd,qmd->qm", diff, diff))
 
 
 def _closest(grp, queries: pd.DataFrame, members: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k best members for every query; ties go to the smaller key."""
-    gaps = _gaps(np.stack(queries["v"].to_numpy()), np.stack(members["v"].to_numpy()))
     qkeys, mkeys = queries["key"].to_numpy(), members["key"].to_numpy()
-    gaps[qkeys[:, None] == mkeys[None, :]] = np.inf
-    order = np.lexsort((np.broadcast_to(mkeys, gaps.shape), np.round(gaps, TIE_PLACES)), axis=1)[:, :k]
-    best = np.take_along_axis(gaps, order, axis=1)
-    keep = np.isfinite(best)
-    return pd.DataFrame({
-        "grp": grp,
-        "key": np.repeat(qkeys, keep.sum(axis=1)),
-        "neighbour": mkeys[order][keep],
-        "distance": best[keep],
-    })
+    parts = []
+    for rows, gaps in _gaps(np.stack(queries["v"].to_numpy()), np.stack(members["v"].to_numpy())):
+        keys = qkeys[rows]
+        gaps[keys[:, None] == mkeys[None, :]] = np.inf
+        order = np.lexsort((np.broadcast_to(mkeys, gaps.shape), np.round(gaps, TIE_PLACES)), axis=1)[:, :k]
+        best = np.take_along_axis(gaps, order, axis=1)
+        keep = np.isfinite(best)
+        parts.append(pd.DataFrame({
+            "grp": grp, "key": np.repeat(keys, keep.sum(axis=1)), "neighbour": mkeys[order][keep], "distance": best[keep],
+        }))
+    return pd.concat(parts)
 
 
 def _search_home(k: int):
@@ -202,17 +202,17 @@ def _route(queries: DataFrame, pivots: list, cells: list, k: int) -> DataFrame:
         for batch in batches:
             for g, part in batch.groupby("grp"):
                 ids, radius, inner, subs = shape[g]
-                gaps = _gaps(np.stack(part["v"].to_numpy()), centres[g][ids])
-                nearest_possible = np.maximum(gaps - radius, inner - gaps)
                 far = np.where(part["have"].fillna(0).to_numpy() >= k, part["far"].to_numpy(dtype=float), np.inf)
-                # a little slack keeps rounding from hiding a tie
-                q, c = np.nonzero(nearest_possible <= far[:, None] + 10.0 ** -TIE_PLACES)
-                rows = part.iloc[q]
-                yield pd.DataFrame({
-                    "grp": rows["grp"].to_numpy(), "key": rows["key"].to_numpy(), "v": rows["v"].to_numpy(),
-                    "from_cell": rows["cell"].to_numpy(), "from_sub": rows["sub"].to_numpy(),
-                    "cell": ids[c], "subs": subs[c],
-                })
+                for piece, gaps in _gaps(np.stack(part["v"].to_numpy()), centres[g][ids]):
+                    nearest_possible = np.maximum(gaps - radius, inner - gaps)
+                    # a little slack keeps rounding from hiding a tie
+                    q, c = np.nonzero(nearest_possible <= far[piece, None] + 10.0 ** -TIE_PLACES)
+                    rows = part.iloc[piece].iloc[q]
+                    yield pd.DataFrame({
+                        "grp": rows["grp"].to_numpy(), "key": rows["key"].to_numpy(), "v": rows["v"].to_numpy(),
+                        "from_cell": rows["cell"].to_numpy(), "from_sub": rows["sub"].to_numpy(),
+                        "cell": ids[c], "subs": subs[c],
+                    })
 
     grp = queries.schema["grp"].dataType.simpleString()
     return queries.mapInPandas(
