@@ -23,10 +23,14 @@ def chronological_split(
     The second cut is ``floor(n * (train + val))`` in double arithmetic, which for
     0.7 and 0.2 falls one row short of nine tenths at some sizes.
     """
-    indexed = row_index(df, order_by)
+    return split_by_position(row_index(df, order_by), train, val)
+
+
+def split_by_position(indexed: DataFrame, train: float = 0.7, val: float = 0.2, index: str = "row_idx") -> DataFrame:
+    """The same for rows that are numbered from 0 already."""
     n = row_count(indexed).cast("double")
     first, second = F.floor(n * F.lit(train)), F.floor(n * F.lit(train + val))
-    split = F.when(F.col("row_idx") < first, "train").when(F.col("row_idx") < second, "val").otherwise("test")
+    split = F.when(F.col(index) < first, "train").when(F.col(index) < second, "val").otherwise("test")
     return indexed.withColumn("split", split)
 
 

@@ -45,6 +45,11 @@ def undersample_and_split(
     return random_split(balanced, key, test, f"{seed}s")
 
 
+def shuffle_key(df: DataFrame, key: Sequence[str], name: str = "shuffle_key", seed: int = 42) -> DataFrame:
+    """A column to order by where rows are wanted in random but repeatable order."""
+    return df.withColumn(name, hash_text(seed, *[col(c) for c in key]))
+
+
 def class_sizes(df: DataFrame, label: str) -> DataFrame:
     """Rows per class as a small, checked table."""
     counts = df.filter(col(label).isNotNull()).groupBy(col(label)).agg(F.count("*").alias("n"))
