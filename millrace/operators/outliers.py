@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..plans.lookup import attach_row
+from ..plans.lookup import attach_row, attach_values
 from ..plans.names import col
 from ..plans.quantile import quantiles
 from .columns import numeric_columns
@@ -65,7 +65,7 @@ def iqr_report(
 ) -> DataFrame:
     """As ``zscore_report`` with values strictly outside the interquartile fences."""
     chosen = [c for c in (numeric_columns(df) if columns is None else columns) if c != row_id]
-    data = attach_row(df, iqr_stats(df, chosen, threshold), "_stats")
+    data = attach_values(df, iqr_stats(df, chosen, threshold), "_stats")
 
     def outside(c: str) -> Column:
         fence = F.col("_stats").getField(c)
@@ -104,7 +104,7 @@ def remove_zscore(df: DataFrame, column: str, threshold: float = 3.0) -> DataFra
 
 def remove_iqr(df: DataFrame, column: str, threshold: float = 1.5) -> DataFrame:
     """Keep rows on or inside the fences; all rows if the column has under four values."""
-    data = attach_row(df, iqr_stats(df, [column], threshold), "_stats")
+    data = attach_values(df, iqr_stats(df, [column], threshold), "_stats")
     fence = F.col("_stats").getField(column)
     no_fence = fence.getField("low").isNull()
     return data.filter(no_fence | col(column).between(fence.getField("low"), fence.getField("high"))).drop("_stats")
@@ -118,7 +118,7 @@ def clean_amounts(df: DataFrame, column: str, reach: float = 3.0) -> DataFrame:
     bounds = quantiles(df, [column], [0.25, 0.75]).select(
         F.get(col(column), F.lit(0)).alias("q1"), F.get(col(column), F.lit(1)).alias("q3")
     )
-    data = attach_row(df, bounds, "_stats")
+    data = attach_values(df, bounds, "_stats")
     q1, q3 = F.col("_stats.q1"), F.col("_stats.q3")
     spread = (q3 - q1) * F.lit(float(reach))
     beyond = (col(column) >= q3 + spread) | (col(column) <= q1 - spread)

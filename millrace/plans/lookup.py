@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .names import col
 
@@ -24,6 +24,21 @@ def attach_row(df: DataFrame, row: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, one_row(row))
 
 
+def _literal(value, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StructType):
+        return F.struct(*[_literal(None if value is None else value[f.name], f.dataType).alias(f.name) for f in kind])
+    return F.lit(value).cast(kind)
+
+
+def attach_values(df: DataFrame, row: DataFrame, name: str) -> DataFrame:
+    """As ``attach_row`` with the row computed now and written into the plan as constants.
+
+    Used where the row took jobs of its own anyway: comparisons with constants reach
+    the file scan.
+    """
+    return df.withColumn(name, _literal(row.first(), row.schema))
+
+
 def checked_small(df: DataFrame, limit: int = MAX_SMALL_ROWS, what: str = "table") -> DataFrame:
     """A driver-built copy of a table proven to have at most ``limit`` rows."""
     rows = df.limit(limit + 1).collect()

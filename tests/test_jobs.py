@@ -53,7 +53,7 @@ def test_transactions_to_strategy_table(spark):
     assert prepared.columns == ["v1", "类别", "row_id", "split", "标准化交易金额"]
     n = prepared.count()
     assert 380 < n <= 400 and prepared.filter("split = 'test'").count() == int(np.ceil(n * 0.3))
-    table = jobs.compare_transaction_models(prepared, k=2, strengths=(0.1, 1.0), max_iter=10)
+    table = jobs.compare_transaction_models(prepared, k=2, strengths=(1.0,), max_iter=10)
     found = {(r.strategy, r.metric): r.value for r in table.collect()}
     assert len(found) == 40
     assert found["smote", "recall"] > 0.7 and found["undersample", "recall"] > 0.7

@@ -80,6 +80,6 @@ def test_strategies_side_by_side(spark, separable):
     undersampled = sampling.undersample_and_split(separable, "y", ["id"])
     table = classify.compare_strategies(
         separable, separable, ["x", "noise"], "y", ["id"], undersampled, separable, k=2,
-        strengths=(1.0, 10.0), max_iter=10)
+        strengths=(1.0,), max_iter=10)
     found = {(r.strategy, r.metric): r.value for r in table.collect()}
     assert len(found) == 40 and found["no_balancing", "recall"] == 1.0
