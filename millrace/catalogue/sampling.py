@@ -56,11 +56,24 @@ _KNN = """p AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embe
         FROM p a JOIN p b ON a.label = b.label AND a.vec_id <> b.vec_id)"""
 
 
-@query("knn_minority", f"""
+_KNN_SQL = f"""
     WITH {_KNN} SELECT label, vec_id, CAST(rank AS INTEGER) AS rank, neighbour, round(distance, 6) + 0.0 AS distance
-    FROM near WHERE rank <= 5""")
+    FROM near WHERE rank <= 5"""
+
+
+@query("knn_minority", _KNN_SQL)
 def knn_minority(t):
-    near = nearest_neighbours(t.embeddings, "vec_id", "embedding", 5, group="label")
+    return _neighbours(t, 2048)
+
+
+@query("knn_minority_blocks", _KNN_SQL)
+def knn_minority_blocks(t):
+    """The same over several cells and blocks per class, as on a large table."""
+    return _neighbours(t, 24)
+
+
+def _neighbours(t, block_rows):
+    near = nearest_neighbours(t.embeddings, "vec_id", "embedding", 5, group="label", block_rows=block_rows)
     return near.select(
         "label", F.col("key").alias("vec_id"), "rank", "neighbour", clean_zero(F.col("distance")).alias("distance"))
 

@@ -34,14 +34,24 @@ def moments(t):
     return rounded(stats.moments(t.lineitem, MEASURES), "mean", "std_samp", "std_pop")
 
 
-@query("quartiles", " UNION ALL ".join(
+_QUARTILES = " UNION ALL ".join(
     f"""SELECT '{c}' AS "column", round(quantile_cont({c}, 0.25), 6) + 0.0 AS q1,
         round(quantile_cont({c}, 0.5), 6) + 0.0 AS median, round(quantile_cont({c}, 0.75), 6) + 0.0 AS q3
-        FROM lineitem""" for c in MEASURES))
+        FROM lineitem""" for c in MEASURES)
+
+
+@query("quartiles", _QUARTILES)
 def quartiles(t):
     return rounded(stats.quartiles(t.lineitem, MEASURES), "q1", "median", "q3")
 
 
+@query("quartiles_bracketed", _QUARTILES)
+def quartiles_bracketed(t):
+    """The same by narrowing brackets, as on a table with too many values for one buffer."""
+    found = stats.quartiles(t.lineitem, MEASURES, buffer_limit=1000, accuracy=1000)
+    return rounded(found, "q1", "median", "q3")
+
+
 @query("distinct_guard", """
     WITH d AS (SELECT l_quantity, l_linenumber, l_discount, 1 AS l_one,
                CASE WHEN l_linestatus = 'O' THEN NULL WHEN l_returnflag = 'A' THEN 1 ELSE 2 END AS l_three FROM lineitem)

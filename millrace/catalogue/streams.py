@@ -7,11 +7,14 @@ from ..streaming import operators as streaming
 from .registry import query
 
 
-@query("stream_resample")
+@query("stream_resample", """
+    SELECT date_trunc('day', ts) AS ts, event_type, round(avg(value), 6) + 0.0 AS value, count(*) AS n FROM events
+    GROUP BY date_trunc('day', ts), event_type
+    HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
 def stream_resample(t):
     events = streaming.read_parquet_stream(t.spark, t.path("event*")).select("ts", "event_type", "value")
     daily = streaming.resample_stream(events, "ts", ["value"], "1 day", "1 hour", keys=["event_type"])
-    return streaming.run_available(daily, "stream-resample")
+    return streaming.run_available(daily.withColumn("value", clean_zero(F.col("value"))), "stream-resample")
 
 
 @query("stream_zscore_flag", """

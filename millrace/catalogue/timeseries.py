@@ -101,17 +101,30 @@ def event_windows(t, chunk_rows=timeseries.WINDOW_CHUNK_ROWS):
     return timeseries.sliding_windows(indexed, ["event_id", "value"], ["value"], chunk_rows=chunk_rows)
 
 
-@query("sliding_window", f"""
+_WINDOW_SQL = f"""
     WITH {_WINDOWS}
     SELECT start_idx, array_to_string(in_ids, ',') AS input_ids,
            round(list_sum(in_values), 6) + 0.0 AS input_sum,
            array_to_string(out_cents, ',') AS label_cents
-    FROM w WHERE len(out_values) = 5""")
+    FROM w WHERE len(out_values) = 5"""
+
+
+@query("sliding_window", _WINDOW_SQL)
 def sliding_window(t):
+    return _shown(event_windows(t))
+
+
+@query("sliding_window_chunks", _WINDOW_SQL)
+def sliding_window_chunks(t):
+    """The same cut into many small chunks, as a long series is."""
+    return _shown(event_windows(t, chunk_rows=300))
+
+
+def _shown(windows):
     total = F.aggregate("inputs", F.lit(0.0), lambda a, row: a + row["value"])
     cents = F.transform("labels", lambda row: F.round(row["value"] * 100).cast("bigint").cast("string"))
     ids = F.transform("inputs", lambda row: row["event_id"].cast("string"))
-    return event_windows(t).select(
+    return windows.select(
         "start_idx", F.array_join(ids, ",").alias("input_ids"), clean_zero(total).alias("input_sum"),
         F.array_join(cents, ",").alias("label_cents"))
 

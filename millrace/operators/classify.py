@@ -74,8 +74,8 @@ def fold_scores(
 ) -> DataFrame:
     """Recall of every strength on every fold: ``C, fold, recall``.
 
-    The folds run side by side as Spark jobs and all strengths of a fold are scored in
-    one pass.  ``balance`` is applied to the training folds only, so that no drawn or
+    Folds and strengths are fitted side by side as Spark jobs; all strengths of a fold
+    are scored in one pass.  ``balance`` is applied to the training folds only, so that no drawn or
     made-up row reaches the fold it is judged on.
     """
     spark = df.sparkSession
@@ -94,11 +94,12 @@ def fold_scores(
             n = train.count()
         train = train.select("features", label).persist()
         scored = ready.filter(col(fold) == number)
-        for i, C in enumerate(strengths):
-            model = _estimator(label, C, n, tol, max_iter).fit(train)
+        with ThreadPool(len(strengths)) as fits:
+            models = fits.map(lambda C: _estimator(label, C, n, tol, max_iter).fit(train), strengths)
+        train.unpersist()
+        for i, model in enumerate(models):
             model.setPredictionCol(f"p{i}").setProbabilityCol("").setRawPredictionCol("")
             scored = model.transform(scored)
-        train.unpersist()
         recalls = []
         for i, _ in enumerate(strengths):
             counts = confusion_counts(label, f"p{i}")

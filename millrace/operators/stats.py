@@ -52,10 +52,10 @@ def moments(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     return _long(row, chosen, {name: (lambda i, c, name=name: F.col(f"{name}{i}")) for name in parts})
 
 
-def quartiles(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def quartiles(df: DataFrame, columns: Sequence[str] | None = None, **options) -> DataFrame:
     """Exact quartiles with linear interpolation, one row per column."""
     chosen = list(numeric_columns(df) if columns is None else columns)
-    row = quantiles(df, chosen, [0.25, 0.5, 0.75])
+    row = quantiles(df, chosen, [0.25, 0.5, 0.75], **options)
     return _long(row, chosen, {
         name: (lambda i, c, at=at: F.get(col(c), F.lit(at))) for at, name in enumerate(("q1", "median", "q3"))
     })

@@ -105,9 +105,9 @@ def sliding_windows(
     total = input_width + shift
     if chunk_rows < total:
         raise ValueError("a chunk must hold at least one window")
-    chunk = F.floor(col(index) / chunk_rows)
     offset = col(index) % chunk_rows
-    places = F.when((offset < total - 1) & (chunk > 0), F.array(chunk, chunk - 1)).otherwise(F.array(chunk))
+    chunk = col(index) - offset  # a chunk is named by the position of its first row
+    places = F.when((offset < total - 1) & (chunk > 0), F.array(chunk, chunk - chunk_rows)).otherwise(F.array(chunk))
     needed = list(dict.fromkeys([*within, index, *columns, *labels]))
     rows = indexed.select(*[col(c) for c in needed], F.explode(places).alias("_chunk"))
     span = Window.partitionBy(*within, "_chunk").orderBy(col(index))
@@ -119,7 +119,7 @@ def sliding_windows(
     return (
         rows.withColumn("inputs", taken(columns, 0, input_width - 1))
         .withColumn("labels", taken(labels, total - label_width, total - 1))
-        .filter((F.floor(col(index) / chunk_rows) == F.col("_chunk")) & (F.size("labels") == label_width))
+        .filter((chunk == F.col("_chunk")) & (F.size("labels") == label_width))
         .select(*[col(c) for c in within], col(index).alias("start_idx"), "inputs", "labels")
     )
 

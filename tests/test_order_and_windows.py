@@ -115,6 +115,15 @@ def test_linear_candidate_wins_on_a_ramp(spark, tmp_path):
     assert abs(first["pred_T_0"] - first["labels"][0]["T"]) < 1e-6
 
 
+def test_boosted_candidate_predicts(ramp):
+    windows = timeseries.sliding_windows(ramp, ["T"]).withColumn("split", F.lit("train"))
+    models = forecast.fit_direct(windows, ["T"], ["T"], label_width=1, method="gbt")
+    first = forecast.predict_direct(windows, models, ["T"], ["T"]).orderBy("start_idx").first()
+    assert len(first.predictions) == 1 and abs(first.predictions[0].T - 25.0) < 1.5
+    with pytest.raises(ValueError):
+        forecast.fit_direct(windows, ["T"], ["T"], method="other")
+
+
 GAPS = [
     (1, "2024-03-01 22:15:00", None), (2, "2024-03-01 22:40:00", 4.0), (3, "2024-03-01 22:50:00", None),
     (4, "2024-03-02 01:05:00", 6.0), (5, "2024-03-03 23:59:59", 1.0), (6, "2024-03-04 00:00:00", 9.0),
