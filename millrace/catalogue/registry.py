@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import use_utc
+from ..session import ship_package, use_utc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,7 +15,7 @@ class Tables:
     """Lazy access to the Parquet tables of one folder."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark = use_utc(spark)
+        self.spark = ship_package(use_utc(spark))
         self.folder = folder.rstrip("/")
 
     def __getattr__(self, name: str) -> DataFrame:

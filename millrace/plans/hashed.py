@@ -3,7 +3,8 @@
 Rows are ordered by the md5 of a seed and a key.  The k-th smallest hash is found
 by counting hash buckets, then ranking only the one bucket that holds it; all other
 rows are just compared with it.  No raw row is shuffled for that and the result
-does not depend on partitioning.
+does not depend on partitioning.  The key must identify a row: rows that share one
+share their hash and could not be told apart.
 """
 
 from __future__ import annotations

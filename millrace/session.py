@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
 
 def build_session(app: str = "millrace", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution and UTC; further settings by keyword.
@@ -27,3 +33,17 @@ def use_utc(spark: SparkSession) -> SparkSession:
     """Naive timestamps are read as UTC everywhere in this library."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors once, for the functions that run in Python there.
+
+    Not needed where the package is installed or named in ``--py-files``.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        package = Path(__file__).resolve().parent
+        target = Path(tempfile.mkdtemp(prefix="millrace-package-")) / package.name
+        context.addPyFile(shutil.make_archive(str(target), "zip", package.parent, package.name))
+        _SHIPPED.add(context.applicationId)
+    return spark
