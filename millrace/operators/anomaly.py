@@ -91,34 +91,42 @@ def grow_forest(
     )
 
 
+def _packed(nodes: pd.DataFrame) -> tuple:
+    """One tree for fast walking: leaves lead to themselves, ``value`` is the depth credited there."""
+    feature, cut = nodes["feature"].to_numpy(), nodes["cut"].to_numpy()
+    leaf = feature < 0
+    itself = np.arange(len(nodes))
+    children = np.column_stack([
+        np.where(leaf, itself, nodes["left"].to_numpy()), np.where(leaf, itself, nodes["right"].to_numpy())
+    ])
+    depth = np.zeros(len(nodes))
+    for node in np.flatnonzero(~leaf):  # children have higher numbers than their parent
+        depth[children[node]] = depth[node] + 1
+    value = depth + expected_depth(nodes["size"].to_numpy())
+    return np.where(leaf, 0, feature), np.where(leaf, np.inf, cut), children.ravel(), value, int(depth.max())
+
+
 def score_rows(df: DataFrame, forest: DataFrame, columns: Sequence[str], name: str = "score") -> DataFrame:
     """Add the anomaly score in (0, 1); null where a column is null."""
     columns = list(columns)
     nodes = forest.toPandas().sort_values(["tree", "node"])  # bounded by trees * 2 * tree_rows
-    packed = []
-    for _, part in nodes.groupby("tree"):
-        packed.append(tuple(part[c].to_numpy() for c in ("feature", "cut", "left", "right", "size")))
     norm = float(expected_depth(nodes.groupby("tree")["size"].max().max()))
-    shared = df.sparkSession.sparkContext.broadcast(packed)
+    trees = [_packed(part) for _, part in nodes.groupby("tree")]
+    shared = df.sparkSession.sparkContext.broadcast(trees)
 
     @F.pandas_udf("double")
     def score(*values: pd.Series) -> pd.Series:
         data = np.column_stack([v.to_numpy(dtype=float) for v in values])
         known = ~np.isnan(data).any(axis=1)
+        first_cell = np.arange(len(data)) * data.shape[1]
+        cells = data.ravel()
         total = np.zeros(len(data))
-        rows = np.arange(len(data))
-        for feature, cut, left, right, size in shared.value:
-            at = np.zeros(len(data), dtype=int)
-            depth = np.zeros(len(data))
-            moving = rows[known]
-            while len(moving):
-                node = at[moving]
-                inner = feature[node] >= 0
-                moving, node = moving[inner], node[inner]
-                goes_left = data[moving, feature[node]] <= cut[node]
-                at[moving] = np.where(goes_left, left[node], right[node])
-                depth[moving] += 1
-            total += depth + expected_depth(size[at])
+        for feature, cut, children, value, levels in shared.value:
+            at = np.zeros(len(data), dtype=np.intp)
+            for _ in range(levels):
+                right = cells.take(first_cell + feature.take(at)) > cut.take(at)
+                at = children.take(2 * at + right)
+            total += value.take(at)
         result = np.power(2.0, -total / len(shared.value) / norm)
         return pd.Series(result).where(pd.Series(known))
 
