@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..catalogue.registry import Tables
 from .chat_format import conversation_digests, format_conversations, read_conversations
+from .decontaminate import contamination
 from .exact_dedup import exact_duplicates
 from .pseudonyms import pseudonymize
 from .token_counts import token_counts
@@ -75,6 +76,36 @@ def arrow_token_files(t: Tables) -> DataFrame:
     return read_documents(files)
 
 
+WORDS = "regexp_extract_all(" + LOWERED + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query("op7_winnowing_decontamination", f"""
+    WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
+    items AS (SELECT item_id, {WORDS} AS w FROM benchmark),
+    item_windows AS (
+        SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS win FROM (
+            SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i
+            FROM items WHERE len(w) > 0)
+    ),
+    sizes AS (SELECT DISTINCT n FROM item_windows),
+    doc_windows AS (
+        SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS win FROM (
+            SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, sizes WHERE len(w) >= n)
+    ),
+    hits AS (SELECT r, d.n, i, item_id FROM doc_windows d JOIN item_windows t ON d.win = t.win AND d.n = t.n),
+    words AS (
+        SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hits) GROUP BY r
+    ),
+    found AS (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item_id FROM hits),
+    ids AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM found GROUP BY r)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM docs LEFT JOIN words USING (r) LEFT JOIN ids USING (r)
+""")
+def winnowing_decontamination(t: Tables) -> DataFrame:
+    return contamination(t.documents, t.benchmark)
+
+
 URL_RULES = [
     ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
     ("allow", "com", "/fr/"), ("block", "com", "/de/"),
