@@ -10,6 +10,7 @@ from ..catalogue.registry import Tables
 from .chat_format import conversation_digests, format_conversations, read_conversations
 from .decontaminate import contamination
 from .exact_dedup import exact_duplicates
+from .mixing import mix
 from .pseudonyms import pseudonymize
 from .token_counts import token_counts
 from .token_files import read_documents, write_token_files
@@ -45,6 +46,11 @@ def all_oracles() -> dict[str, str]:
     return dict(ORACLES)
 
 
+@query("op2_pfair_mixing")
+def pfair_mixing(t: Tables) -> DataFrame:
+    return mix(t.documents, power=0.5, block_bytes=1 << 16)
+
+
 @query("op3_feistel_pseudonyms")
 def feistel_pseudonyms(t: Tables) -> DataFrame:
     return pseudonymize(t.documents, key="millrace example key")
