@@ -15,6 +15,8 @@ from ..session import ship_package
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 BLOCK_BYTES = 4 << 20
+BATCH_BYTES = 32 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 __all__ = [
     "UPPER", "LOWER", "ascii_lower", "col", "new_path", "null_safe_key", "only", "prepared", "shuffle_partitions", "slices",
@@ -29,7 +31,9 @@ def ascii_lower(text: Column) -> Column:
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """Make this package known to the executors' Python."""
+    """Make this package known to the executors' Python, and bound the batches sent there by bytes."""
+    if int(spark.conf.get(BATCH_SETTING).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
     return ship_package(spark)
 
 

@@ -11,6 +11,7 @@ from .chat_format import conversation_digests, format_conversations, read_conver
 from .decontaminate import contamination
 from .exact_dedup import exact_duplicates
 from .mixing import mix
+from .near_dedup import near_duplicates
 from .pseudonyms import pseudonymize
 from .token_counts import token_counts
 from .token_files import read_documents, write_token_files
@@ -158,3 +159,8 @@ def relational_chat_format(t: Tables) -> DataFrame:
         [(-1, 0, "user", ok), (-1, 1, "assistant", ok)], "conv_id bigint, turn bigint, role string, text string")
     turns = t.conversations.select("conv_id", "turn", "role", "text").unionByName(extra)
     return conversation_digests(read_conversations(format_conversations(turns)))
+
+
+@query("op10_lsh_forest_near_dedup")
+def lsh_forest_near_dedup(t: Tables) -> DataFrame:
+    return near_duplicates(t.documents, percent=85, k=5)
