@@ -13,6 +13,7 @@ from .exact_dedup import exact_duplicates
 from .mixing import mix
 from .near_dedup import near_duplicates
 from .pseudonyms import pseudonymize
+from .quality import classify, trusted_ids
 from .token_counts import token_counts
 from .token_files import read_documents, write_token_files
 from .url_rules import judge_urls
@@ -47,6 +48,12 @@ def all_oracles() -> dict[str, str]:
     return dict(ORACLES)
 
 
+@query("op1_kneser_ney_quality")
+def kneser_ney_quality(t: Tables) -> DataFrame:
+    judged = classify(t.documents, trusted_ids(t.labels), carry=["doc_id", "lang"])
+    return judged.select("doc.doc_id", "doc.lang", "bits_per_byte", "perplexity", "low", "high", "kept")
+
+
 @query("op2_pfair_mixing")
 def pfair_mixing(t: Tables) -> DataFrame:
     return mix(t.documents, power=0.5, block_bytes=1 << 16)
