@@ -41,7 +41,9 @@ def query(name: str, sql: str | None = None):
 
 
 def all_queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    import corpus_pipeline
+
+    return {**QUERIES, "pipeline": corpus_pipeline.run}
 
 
 def all_oracles() -> dict[str, str]:
