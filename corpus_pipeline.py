@@ -20,17 +20,15 @@ from millrace.llm.quality import classify, trusted_ids
 from millrace.llm.queries import tokenizer_path
 from millrace.llm.token_files import read_documents, write_token_files
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    return docs.join(ids.distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents whose perplexity lies outside the limits of their language."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    judged = classify(docs, trusted_ids(labels), carry=COLUMNS)
+    judged = classify(docs, trusted_ids(labels))
     return judged.filter("kept").select("doc.*")
 
 
@@ -38,8 +36,11 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Keep the document with the least id of each group of near-duplicates; of rows that repeat an id, one."""
     groups = near_duplicates(docs, percent=80, k=5)
     left = _without(docs, groups.filter(~F.col("kept")).select("doc_id"))
-    same = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(F.xxhash64("text"))
-    return left.withColumn("_n", F.row_number().over(same)).filter("_n = 1 OR doc_id IS NULL").select(*COLUMNS)
+    rows = left.select(F.struct("*").alias("d"))
+    # rows without an id are told apart by their text, so they do not meet in one task
+    same = Window.partitionBy("d.doc_id", F.when(F.col("d.doc_id").isNull(), F.xxhash64("d.text"))).orderBy(
+        F.xxhash64("d.text"))
+    return rows.withColumn("n", F.row_number().over(same)).filter("n = 1 OR d.doc_id IS NULL").select("d.*")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,11 +54,12 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     The order is that of the written files and of the rows in them.
     """
-    plan = mix(docs, power=0.5).groupBy("doc_id").agg(F.min(F.struct("slot", "source", "place")).alias("_at"))
-    placed = docs.alias("d").join(plan.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id"))).select("d.*", "_at")
-    keys = [F.col("_at.slot").asc_nulls_last(), F.col("_at.source"), F.col("_at.place"), F.col("doc_id")]
+    plan = mix(docs, power=0.5).groupBy("doc_id").agg(F.min(F.struct("slot", "source", "place")).alias("at"))
+    rows = docs.select(F.struct("*").alias("d"))
+    placed = rows.join(plan, F.col("d.doc_id").eqNullSafe(F.col("doc_id"))).select("d", "at")
+    keys = [F.col("at.slot").asc_nulls_last(), F.col("at.source"), F.col("at.place"), F.col("d.doc_id")]
     ordered = placed.repartitionByRange(shuffle_partitions(spark), *keys).sortWithinPartitions(*keys)
-    return ordered.select(*COLUMNS)
+    return ordered.select("d.*")
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
