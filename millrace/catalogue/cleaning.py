@@ -258,6 +258,18 @@ def union_of_names(t):
     return union_by_name([orders, customers])
 
 
+@query("union_mixed_types", """
+    SELECT o_orderkey AS id, CAST(o_orderkey % 7 AS BIGINT) AS part, o_totalprice AS amount FROM orders
+    UNION ALL SELECT CAST(n_nationkey AS BIGINT), 9007199254740993, CAST(n_regionkey AS DOUBLE) FROM nation""")
+def union_of_mixed_types(t):
+    orders = t.orders.select(
+        F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 7).cast("smallint").alias("part"),
+        F.col("o_totalprice").alias("amount"))
+    nations = t.nation.select(
+        F.col("n_nationkey").alias("id"), F.lit(9007199254740993).alias("part"), F.col("n_regionkey").alias("amount"))
+    return union_by_name([orders, nations])
+
+
 @query("union_splits", """
     SELECT o_orderkey, o_totalprice, CASE o_orderstatus WHEN 'F' THEN 'train' WHEN 'O' THEN 'val' ELSE 'test' END AS split
     FROM orders""")

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.repair import MISSING_TEXT, first_cell, first_number, sentinel_replaced, to_number
-from ..plans.lookup import attach_row, salted_semi_join
+from ..plans.lookup import attach_row, repeat_rows, salted_semi_join
 from ..plans.names import col
 from ..plans.quantile import quantiles
 from .columns import numeric_columns, text_columns
@@ -132,8 +132,8 @@ def duplicate_rows(df: DataFrame, row_id: str | None = None) -> DataFrame:
     repeated = df.groupBy(*[col(c) for c in keys]).agg(F.count("*").alias("_copies")).filter("_copies > 1")
     if row_id is None:
         # copies are alike in every column: repeating the group gives them all back
-        return repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copy", "_copies")
-    return salted_semi_join(df, repeated, keys, spread_by=[row_id])
+        return repeat_rows(repeated, "_copies").drop("_copy")
+    return salted_semi_join(df, repeated, keys, spread_by=[row_id], copies="_copies")
 
 
 def unpivot_all(

@@ -52,21 +52,68 @@ def join_small(df: DataFrame, small: DataFrame, on: Sequence[str], how: str = "i
     return df.join(F.broadcast(small), list(on), how)
 
 
+SALT_ROWS = 100_000
+REPEAT_PIECE = 10_000
+
+
+def salts_for(copies: Column, rows: int = SALT_ROWS) -> Column:
+    """How many tasks the rows of one key are dealt out to."""
+    return F.ceil(copies / F.lit(rows)).cast("int")
+
+
 def salted_semi_join(
-    df: DataFrame, keys: DataFrame, on: Sequence[str], spread_by: Sequence[str], salts: int = 16
+    df: DataFrame, keys: DataFrame, on: Sequence[str], spread_by: Sequence[str], copies: str, rows: int = SALT_ROWS
 ) -> DataFrame:
-    """Null-safe semi join that deals the rows of a hot key out to ``salts`` tasks.
+    """Null-safe semi join that deals the rows of a hot key out to as many tasks as it fills.
+
+    ``keys`` holds each key once with the number of its rows in ``copies``; only keys of more
+    than ``rows`` rows are dealt out, and these are few: their rows are told apart by
+    ``spread_by``, columns that differ between rows of one key.  The others join as usual.
+    """
+    hot = keys.filter(col(copies) > rows)
+    few = hot.limit(MAX_SMALL_ROWS + 1).count()
+    named = [col(c).alias(f"_k{i}") for i, c in enumerate(on)]
+
+    def same(i: int, c: str) -> Column:
+        return col(c).eqNullSafe(F.col(f"_k{i}"))
+
+    if not few:
+        return df.join(keys.select(*named), _all([same(i, c) for i, c in enumerate(on)]), "left_semi")
+    # rows learn the number of salts of their key where it is hot; then both sides carry a salt
+    counted = hot.select(*named, salts_for(col(copies), rows).alias("_salts"))
+    counted = F.broadcast(counted) if few <= MAX_SMALL_ROWS else counted
+    salted = df.join(counted, _all([same(i, c) for i, c in enumerate(on)]), "left").drop(*[f"_k{i}" for i in range(len(on))])
+    salt = F.pmod(F.xxhash64(*[col(c) for c in spread_by]), F.coalesce("_salts", F.lit(1))).cast("int")
+    spread = keys.select(*named, F.explode(F.sequence(F.lit(0), salts_for(col(copies), rows) - 1)).alias("_ksalt"))
+    matches = [F.col("_salt") == F.col("_ksalt"), *[same(i, c) for i, c in enumerate(on)]]
+    return salted.withColumn("_salt", salt).join(spread, _all(matches), "left_semi").drop("_salt", "_salts")
+
+
+def _all(conditions: Sequence[Column]) -> Column:
+    out = conditions[0]
+    for more in conditions[1:]:
+        out = out & more
+    return out
+
+
+def repeat_rows(df: DataFrame, copies: str, number: str = "_copy", piece: int = REPEAT_PIECE) -> DataFrame:
+    """Each row as often as ``copies`` says, numbered from 1 in ``number``.
 
-    ``keys`` holds each key once, so it is the side that is repeated.  ``spread_by``
-    are columns that differ between rows of one key, such as a row id.
+    Rows are first repeated piece by piece, the pieces dealt out to all tasks, and each
+    piece filled there: no task makes more than its share, no array is longer than a piece.
     """
-    salt = F.pmod(F.xxhash64(*[col(c) for c in spread_by]), F.lit(salts)).cast("int")
-    salted = df.withColumn("_salt", salt)
-    spread = keys.select(
-        *[col(c).alias(f"_k{i}") for i, c in enumerate(on)],
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_ksalt"),
+    pieces = F.sequence(F.lit(0).cast("bigint"), F.floor((col(copies) - 1) / piece))
+    # two levels of pieces keep the array of piece numbers short, too
+    outer = F.sequence(F.lit(0).cast("bigint"), F.floor((col(copies) - 1) / (piece * piece)))
+    inner = F.filter(
+        F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(piece - 1).cast("bigint")), lambda i: F.col("_outer") * piece + i),
+        lambda p: p * piece < col(copies))
+    large = col(copies) > piece
+    tall = (
+        df.filter(large).withColumn("_outer", F.explode(outer)).withColumn("_piece", F.explode(inner)).drop("_outer")
+        .repartition(F.xxhash64("_piece", *[col(c) for c in df.columns]))
     )
-    condition = F.col("_salt") == F.col("_ksalt")
-    for i, c in enumerate(on):
-        condition = condition & col(c).eqNullSafe(F.col(f"_k{i}"))
-    return salted.join(spread, condition, "left_semi").drop("_salt")
+    flat = df.filter(~large).withColumn("_piece", F.explode(pieces))
+    first = F.col("_piece") * piece + 1
+    last = F.least(first + piece - 1, col(copies).cast("bigint"))
+    return tall.unionByName(flat).withColumn(number, F.explode(F.sequence(first, last))).drop("_piece", copies)

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..plans.lookup import checked_small
 from ..plans.names import col
 from ..plans.ranking import row_index
-from ..plans.scratch import new_path
-from .encodings import ENCODINGS, MAX_FILES, decoded, detect_encodings, files_by_encoding, raw_lines
+from ..plans.scratch import written
+from .encodings import ENCODINGS, decoded, left_out, numbered_lines, survey_files
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -21,79 +21,118 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None)
     return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
 
 
-def _first_lines(lines: DataFrame) -> DataFrame:
-    """The first line of every file, as text ``path, header``."""
-    placed = lines.filter("at = 0").withColumn("pos", F.monotonically_increasing_id())
-    return placed.groupBy("path").agg(F.min_by("line", "pos").alias("header"))
-
-
-def _bodies(spark: SparkSession, members: Sequence[str], encoding: str, header: str) -> DataFrame:
-    """Files of one encoding and one header as a typed table."""
-    if encoding == "utf-8":
-        return read_csv_list(spark, members)
-    # decoded once to UTF-8 lines without headers; the CSV reader then infers types as usual
-    path = new_path(spark, "utf8-lines")
-    lines = raw_lines(spark, members).select(decoded(F.col("line"), encoding).alias("line"))
-    lines.filter(F.col("line") != header).write.text(path)
-    names = _split_header(spark, header)
-    return spark.read.option("inferSchema", True).csv(path).toDF(*names)
-
-
-def _split_header(spark: SparkSession, header: str) -> list[str]:
-    """Column names of one header line, read by Spark's own CSV rules."""
-    cells = spark.range(1).select(F.lit(header).alias("h"))
-    width = header.count(",") + 1
-    schema = ", ".join(f"c{i} string" for i in range(width))
-    row = cells.select(F.from_csv("h", schema).alias("r")).select("r.*").first()
-    return [name for name in row if name is not None]
-
-
-def read_csv_list(spark: SparkSession, members: Sequence[str]) -> DataFrame:
-    reader = spark.read.option("header", True).option("inferSchema", True).option("ignoreCorruptFiles", True)
-    return reader.csv(list(members))
+def _header_names(header: str) -> list[str]:
+    return next(csv.reader([header]))
+
+
+def _parsed(line: Column, header: Column, layouts: Sequence[str]) -> Column:
+    """The cells of a line as a struct of text columns: those of all layouts, null where a file has none."""
+    names = list(dict.fromkeys(n for h in layouts for n in _header_names(h)))
+    parsed = F.lit(None)
+    for h in layouts:
+        own = _header_names(h)
+        cells = F.from_csv(line, ", ".join(f"c{i} string" for i in range(len(own))))
+        place = {n: i for i, n in reversed(list(enumerate(own)))}
+        row = F.struct(*[
+            (cells.getField(f"c{place[n]}") if n in place else F.lit(None).cast("string")).alias(n) for n in names])
+        parsed = F.when(header == h, row).otherwise(parsed)
+    return parsed
+
+
+_KINDS = {
+    "bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp_ntz": T.TimestampNTZType(),
+    "string": T.StringType(),
+}
+
+
+def _inferred(table: DataFrame, columns: Sequence[str]) -> T.StructType:
+    """Types that all texts of a column fit: bigint, double, boolean, timestamp, else string."""
+    fits = {
+        "bigint": lambda c: c.rlike(r"^[+-]?[0-9]{1,19}$") & c.try_cast("bigint").isNotNull(),
+        "double": lambda c: c.try_cast("double").isNotNull(),
+        "boolean": lambda c: F.lower(c).isin("true", "false"),
+        "timestamp_ntz": lambda c: c.try_cast("timestamp_ntz").isNotNull(),
+    }
+    seen = table.agg(*[
+        F.bool_and(F.when(col(c).isNotNull(), test(F.trim(col(c))))).alias(f"{kind}{i}")
+        for i, c in enumerate(columns) for kind, test in fits.items()
+    ]).first()
+    schema = T.StructType()
+    for i, c in enumerate(columns):
+        kind = next((k for k in fits if seen[f"{k}{i}"]), "string")
+        schema.add(c, _KINDS[kind])
+    return schema
 
 
 def read_csv_files(
-    spark: SparkSession, pattern: str, encodings: Sequence[str] = ENCODINGS, row_id: str | None = "row_id"
+    spark: SparkSession, pattern: str, encodings: Sequence[str] = ENCODINGS, row_id: str | None = "row_id",
+    schema: T.StructType | None = None,
 ) -> DataFrame:
     """All CSV files that match a pattern as one table, columns matched by name.
 
-    Encodings are found per file; files are read in one scan per encoding and header,
-    so their number does not matter.  Columns that a file lacks are null.  Empty files
-    are skipped; it is an error if nothing is left.  ``row_id`` numbers the rows.
+    One scan finds the encoding and the header of every file, a second one reads all files
+    whatever their encodings and headers.  Columns that a file lacks are null, and the first
+    line of each file is its header, no other.  Empty files are skipped, and so are files in
+    no listed encoding (``unreadable_files`` lists them); it is an error if nothing is
+    left.  ``schema`` types the columns it names, the others stay text; without it types
+    are found on the texts that were read.  ``row_id`` numbers the rows by file and place.
+    A quoted cell must not contain a line break.
     """
-    groups = files_by_encoding(detect_encodings(spark, pattern, encodings))
-    frames = []
-    for encoding, members in groups.items():
-        first = _first_lines(raw_lines(spark, members))
-        headers: dict[str, list[str]] = {}
-        for row in checked_small(
-            first.select("path", decoded(F.col("header"), encoding).alias("header")), MAX_FILES, "the list of files"
-        ).collect():
-            headers.setdefault(row["header"], []).append(row["path"])
-        frames += [_bodies(spark, sorted(paths), encoding, header) for header, paths in sorted(headers.items())]
-    if not frames:
+    files = survey_files(spark, pattern, encodings).filter("encoding IS NOT NULL")
+    files = written(files.select("path", "encoding", decoded(F.col("header"), F.col("encoding")).alias("header")), "headers")
+    # one row per layout, not per file
+    layouts = sorted(r["header"] for r in files.select("header").distinct().collect() if r["header"])
+    if not layouts:
         raise ValueError(f"no readable file matches {pattern}")
-    table = union_by_name(frames)
-    return row_index(table, [], row_id) if row_id else table
+    lines = numbered_lines(spark, pattern).filter("at > 0 OR pos > 0").join(files, "path")
+    lines = lines.withColumn("line", decoded(F.col("line"), F.col("encoding"))).filter(F.trim("line") != "")
+    place = F.struct("path", "at", "pos")
+    table = written(
+        lines.select(place.alias("place"), _parsed(F.col("line"), F.col("header"), layouts).alias("row")), "csv-cells")
+    columns = table.schema["row"].dataType.names
+    cells = table.select("place", "row.*")
+    kinds = schema or _inferred(cells, columns)
+    typed = {f.name: col(f.name).try_cast(f.dataType) for f in kinds if f.name in columns}
+    cells = cells.withColumns(typed)
+    if row_id is None:
+        return cells.drop("place")
+    return row_index(cells, ["place"], row_id).drop("place")
+
+
+def unreadable_files(spark: SparkSession, pattern: str, encodings: Sequence[str] = ENCODINGS) -> DataFrame:
+    """``path, reason`` of the files that ``read_csv_files`` leaves out."""
+    return left_out(survey_files(spark, pattern, encodings))
+
+
+_INTEGRAL = [T.ByteType, T.ShortType, T.IntegerType, T.LongType]
+_DIGITS = {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 19}  # fixed: digits of each type
+
+
+def common_type(types: set[T.DataType]) -> T.DataType:
+    """The type that holds all values: no integer loses a digit, and only floats make doubles."""
+    if len(types) == 1:
+        return next(iter(types))
+    kinds = {type(t) for t in types}
+    if kinds <= set(_INTEGRAL):
+        return max(kinds, key=_INTEGRAL.index)()
+    if kinds <= {*_INTEGRAL, T.DecimalType}:
+        exact = [(t.precision, t.scale) if isinstance(t, T.DecimalType) else (_DIGITS[type(t)], 0) for t in types]
+        scale = max(s for _, s in exact)
+        whole = max(p - s for p, s in exact)
+        return T.DecimalType(whole + scale, scale) if whole + scale <= 38 else T.StringType()
+    return T.DoubleType() if all(isinstance(t, T.NumericType) for t in types) else T.StringType()
 
 
 def union_by_name(frames: Sequence[DataFrame]) -> DataFrame:
-    """Append rows, columns matched by name; where types differ both become text or double."""
+    """Append rows, columns matched by name; where types differ all become the ``common_type``."""
     kinds: dict[str, set] = {}
     for frame in frames:
         for field in frame.schema:
             kinds.setdefault(field.name, set()).add(field.dataType)
-
-    def common(types: set) -> T.DataType | None:
-        if len(types) == 1:
-            return None
-        return T.DoubleType() if all(isinstance(t, T.NumericType) for t in types) else T.StringType()
-
-    casts = {name: common(types) for name, types in kinds.items()}
+    casts = {name: common_type(types) for name, types in kinds.items() if len(types) > 1}
 
     def aligned(frame: DataFrame) -> DataFrame:
-        changed = {c: col(c).cast(casts[c]) for c in frame.columns if casts[c] is not None}
+        changed = {c: col(c).cast(casts[c]) for c in frame.columns if c in casts}
         return frame.withColumns(changed) if changed else frame
 
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(aligned, frames))

@@ -66,6 +66,56 @@ def test_columns_may_differ_between_files(spark, tmp_path):
         [(1.0, "x", None), (2.0, "y", None), (3.5, "w", None), (None, "z", 2.5)], key=repr)
 
 
+def test_only_the_first_line_is_a_header(spark, tmp_path):
+    for encoding in ("gbk", "utf-8"):
+        (tmp_path / encoding).mkdir()
+        (tmp_path / encoding / "x.csv").write_bytes("列,a\n值,1\n列,a\n\n值,2\n".encode(encoding))
+        table = files.read_csv_files(spark, str(tmp_path / encoding / "*.csv"))
+        assert rows_of(table, "row_id", "列", "a") == [(0, "值", "1"), (1, "列", "a"), (2, "值", "2")]
+
+
+def test_unreadable_files_are_skipped_and_listed(spark, tmp_path):
+    (tmp_path / "bad.csv").write_bytes(b"a,b\n\xff\xff\xff,1\n")
+    (tmp_path / "good.csv").write_text("a,b\n1,x\n")
+    pattern = str(tmp_path / "*.csv")
+    assert rows_of(files.read_csv_files(spark, pattern), "a", "b") == [(1, "x")]
+    listed = files.unreadable_files(spark, pattern).collect()
+    assert [(r.path.rsplit("/", 1)[1], r.reason) for r in listed] == [("bad.csv", "no listed encoding fits")]
+
+
+def test_schema_types_the_columns(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('a,b,c\n007,"x, y",2024-01-02 03:04:05\nbad,,\n')
+    pattern = str(tmp_path / "*.csv")
+    import pyspark.sql.types as T
+
+    schema = T.StructType().add("a", T.IntegerType())
+    assert rows_of(files.read_csv_files(spark, pattern, schema=schema), "a", "b", "c") == sorted(
+        [(7, "x, y", "2024-01-02 03:04:05"), (None, None, None)], key=repr)
+    assert [f.dataType.simpleString() for f in files.read_csv_files(spark, pattern, row_id=None).schema] == [
+        "string", "string", "timestamp_ntz"]
+
+
+def test_large_file_in_many_blocks(spark, tmp_path):
+    text = "id,word\n" + "".join(f"{i},词{i}\n" for i in range(30_000))
+    (tmp_path / "big.csv").write_bytes(text.encode("gbk"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        table = files.read_csv_files(spark, str(tmp_path / "*.csv"))
+        assert table.count() == 30_000
+        assert table.filter("id != row_id OR word != concat('词', id)").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_common_types():
+    import pyspark.sql.types as T
+
+    assert files.common_type({T.IntegerType(), T.LongType()}) == T.LongType()
+    assert files.common_type({T.LongType(), T.DoubleType()}) == T.DoubleType()
+    assert files.common_type({T.IntegerType(), T.DecimalType(12, 4)}) == T.DecimalType(14, 4)
+    assert files.common_type({T.LongType(), T.StringType()}) == T.StringType()
+
+
 def test_nothing_readable_is_an_error(spark, tmp_path):
     (tmp_path / "empty.csv").write_bytes(b"")
     with pytest.raises(ValueError):
