@@ -75,7 +75,7 @@ def grow_forest(
     columns = list(columns)
     slots = trees * tree_rows
     complete = df.select(col(row_key).alias("row_key"), *[col(c).cast("double").alias(c) for c in columns]).dropna()
-    pool = flag_lowest(complete, ["row_key"], seed, F.lit(slots), "_in").filter("_in").drop("_in")
+    pool = flag_lowest(complete, ["row_key"], seed, lambda n, _: F.lit(slots), "_drawn").filter("_drawn").drop("_drawn")
     pool = written(pool, "forest-pool")
     # at most ``slots`` rows, so one task can number them
     place = F.row_number().over(Window.orderBy(hash_text(seed, F.col("row_key")), "row_key")) - 1

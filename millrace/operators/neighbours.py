@@ -16,25 +16,26 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..plans.hashed import flag_lowest_by
-from ..plans.lookup import checked_small
+from ..plans.lookup import maybe_broadcast, salts_for
 from ..plans.names import col
 from ..plans.scratch import written
 
-MAX_GROUPS = 1_000
-MAX_PIVOTS = 4_096  # over all groups together
+PIVOTS = 4_096  # over all groups together
 TIE_PLACES = 9  # distances equal to so many places are ties, broken by key
 _CHUNK_CELLS = 4_000_000  # doubles held at once while distances are computed
-_COPY_SALTS = 16
 
 
 def nearest_neighbours(
-    df: DataFrame, key: str, vector: str, k: int, group: str | None = None, block_rows: int = 2048
+    df: DataFrame, key: str, vector: str, k: int, group: str | None = None, block_rows: int = 2048,
+    probes: int | None = None,
 ) -> DataFrame:
     """``group, key, rank, neighbour, distance`` for the ``k`` nearest other points.
 
     Euclidean distance; ``key`` is a unique integer.  Points of a group that is not
     larger than ``k`` get all the others.  The search runs on distinct vectors, so
-    copies of one vector do not meet each other.
+    copies of one vector do not meet each other.  The search is exact unless the caller sets
+    ``probes``: then a point is compared with its own block and the ``probes`` nearest cells
+    only, which is how vectors that no cell separates are searched in bounded work.
     """
     label = col(group) if group else F.lit(0)
     points = written(
@@ -45,7 +46,7 @@ def nearest_neighbours(
     vectors = written(
         points.groupBy("grp", "v").agg(F.min("key").alias("key"), F.count("*").alias("copies")), "knn-vectors"
     )
-    found = _search(vectors.drop("copies"), k, block_rows)
+    found = _search(vectors.drop("copies"), k, block_rows, probes)
     copied = vectors.filter("copies > 1")
     if not copied.isEmpty():
         found = _spread_to_copies(points, copied, written(_best(found, k), "knn-vectors-found"), k)
@@ -66,12 +67,12 @@ def _spread_to_copies(points: DataFrame, copied: DataFrame, found: DataFrame, k:
     Of each copied vector only the ``k + 1`` smallest keys can be neighbours of
     anything, and all copies share one list of ``k + 1`` candidates.
     """
-    salt = F.pmod(F.xxhash64("key"), F.lit(_COPY_SALTS)).cast("int")
-    salts = F.explode(F.sequence(F.lit(0), F.lit(_COPY_SALTS - 1)))
-    owners = copied.select("grp", "v", F.col("key").alias("owner"), salts.alias("salt"))
+    salts = F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
+    owners = copied.select("grp", "v", F.col("key").alias("owner"), salts_for(F.col("copies")).alias("salts"))
+    # the join that finds the owner of each copy may be split by Spark: it is not aggregated above
     copies = written(
-        points.withColumn("salt", salt).join(owners, ["grp", "v", "salt"]).select("grp", "owner", "key", "salt"),
-        "knn-copies",
+        points.join(owners, ["grp", "v"]).withColumn("salt", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int"))
+        .select("grp", "owner", "key", "salt"), "knn-copies",
     )
     smallest = Window.partitionBy("grp", "owner").orderBy("key")
     shown = copies.withColumn("n", F.row_number().over(smallest)).filter(F.col("n") <= k + 1).select(
@@ -85,7 +86,8 @@ def _spread_to_copies(points: DataFrame, copied: DataFrame, found: DataFrame, k:
     same = shown.select("grp", F.col("owner").alias("key"), F.col("key").alias("neighbour"), F.lit(0.0).alias("distance"))
     lists = written(_best(others.unionAll(same), k + 1).drop("rank"), "knn-lists")
     single = lists.join(copied.select("grp", "key"), ["grp", "key"], "left_anti")
-    shared = lists.withColumnRenamed("key", "owner").withColumn("salt", salts)
+    shared = lists.withColumnRenamed("key", "owner").join(owners.select("grp", "owner", "salts"), ["grp", "owner"])
+    shared = shared.withColumn("salt", salts).drop("salts")
     several = (
         copies.join(shared, ["grp", "owner", "salt"]).filter(F.col("neighbour") != F.col("key"))
         .select("grp", "key", "neighbour", "distance")
@@ -93,22 +95,33 @@ def _spread_to_copies(points: DataFrame, copied: DataFrame, found: DataFrame, k:
     return single.unionAll(several)
 
 
-def _search(points: DataFrame, k: int, block_rows: int) -> DataFrame:
-    """Candidates that include the ``k`` nearest of every point; vectors are distinct."""
-    sizes = checked_small(points.groupBy("grp").agg(F.count("*").alias("n")), MAX_GROUPS, "the list of groups")
+def _search(points: DataFrame, k: int, block_rows: int, probes: int | None) -> DataFrame:
+    """Candidates that include the ``k`` nearest of every point; vectors are distinct.
+
+    Groups of one block are searched as they are, however many there are.
+    """
+    fields = {f.name: f.dataType.simpleString() for f in points.schema}
+    schema = f"grp {fields['grp']}, key bigint, neighbour bigint, distance double"
+    sizes = written(points.groupBy("grp").agg(F.count("*").alias("n")), "knn-groups")
+    large = sizes.filter(F.col("n") > block_rows)
+    whole = sizes.filter(F.col("n") <= block_rows).select(F.col("grp").alias("_g"))
+    alone = points.join(maybe_broadcast(whole), F.col("grp").eqNullSafe(F.col("_g"))).drop("_g")
+    found = alone.groupBy("grp").applyInPandas(_search_home(k), schema)
+    if large.isEmpty():
+        return found
+    named = large.select(F.col("grp").alias("_g"))
+    rest = written(points.join(maybe_broadcast(named), F.col("grp").eqNullSafe(F.col("_g"))).drop("_g"), "knn-large")
+    return found.unionAll(_search_cells(rest, large, k, block_rows, probes, schema))
+
+
+def _search_cells(points: DataFrame, sizes: DataFrame, k: int, block_rows: int, probes: int | None, schema: str) -> DataFrame:
     pivots = _pivots(points, sizes, block_rows)
     placed = _place(points, pivots, block_rows)
     cells = _cells(placed)
-
-    fields = {f.name: f.dataType.simpleString() for f in placed.schema}
-    schema = f"grp {fields['grp']}, key bigint, neighbour bigint, distance double"
     members = placed.withColumn("sub", _sub("key", F.col("subs"))).drop("subs")
-    home = members.groupBy("grp", "cell", "sub").applyInPandas(_search_home(k), schema)
-    if all(c["subs"] == 1 for c in cells) and len({c["grp"] for c in cells}) == len(cells):
-        return home  # every group is one block: nothing else to search
-    home = written(home, "knn-home")
+    home = written(members.groupBy("grp", "cell", "sub").applyInPandas(_search_home(k), schema), "knn-home")
     reach = home.groupBy("key").agg(F.count("*").alias("have"), F.max("distance").alias("far"))
-    routes = written(_route(members.join(reach, "key", "left"), pivots, cells, k), "knn-routes")
+    routes = written(_route(members.join(reach, "key", "left"), pivots, cells, k, probes), "knn-routes")
     return home.unionAll(_search_others(routes, members, k, schema))
 
 
@@ -117,9 +130,13 @@ def _sub(key: str, subs):
 
 
 def _pivots(points: DataFrame, sizes: DataFrame, block_rows: int) -> list:
-    """A few points of each group; together at most MAX_PIVOTS, or one per group."""
-    share = max(1, MAX_PIVOTS // max(1, sizes.count()))
-    count = F.least(F.lit(share), F.ceil(F.col("n") / block_rows)).cast("bigint")
+    """One pivot per block of each large group, in all about ``PIVOTS`` where there would be more.
+
+    Fewer pivots make larger cells, which hold more blocks: more work, the same neighbours.
+    """
+    blocks = F.ceil(F.col("n") / block_rows)
+    total = sizes.agg(F.sum(blocks)).first()[0]
+    count = F.greatest(F.lit(1), F.floor(blocks * min(1.0, PIVOTS / total))).cast("bigint")
     quota = sizes.select("grp", count.alias("k"))
     rows = flag_lowest_by(points, ["grp"], ["key"], "pivot", quota, "chosen").filter("chosen").collect()
     by_group: dict = {}
@@ -163,17 +180,32 @@ def _gaps(a: np.ndarray, b: np.ndarray):
 
 
 def _closest(grp, queries: pd.DataFrame, members: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best members for every query; ties go to the smaller key."""
+    """The k best members for every query; ties go to the smaller key.
+
+    A matrix product screens all pairs; only those that may be among the best are measured exactly.
+    """
     qkeys, mkeys = queries["key"].to_numpy(), members["key"].to_numpy()
+    a, b = np.stack(queries["v"].to_numpy()), np.stack(members["v"].to_numpy())
+    bb = np.einsum("md,md->m", b, b)
     parts = []
-    for rows, gaps in _gaps(np.stack(queries["v"].to_numpy()), np.stack(members["v"].to_numpy())):
-        keys = qkeys[rows]
-        gaps[keys[:, None] == mkeys[None, :]] = np.inf
-        order = np.lexsort((np.broadcast_to(mkeys, gaps.shape), np.round(gaps, TIE_PLACES)), axis=1)[:, :k]
-        best = np.take_along_axis(gaps, order, axis=1)
-        keep = np.isfinite(best)
+    step = max(1, _CHUNK_CELLS // len(b))
+    for start in range(0, len(a), step):
+        q, keys = a[start:start + step], qkeys[start:start + step]
+        qq = np.einsum("qd,qd->q", q, q)
+        rough = np.maximum(qq[:, None] + bb[None, :] - 2.0 * (q @ b.T), 0.0)
+        rough[keys[:, None] == mkeys[None, :]] = np.inf
+        edge = np.partition(rough, k - 1, axis=1)[:, k - 1] if rough.shape[1] > k else np.full(len(q), np.inf)
+        # room for what rounding does to the product and to ties
+        room = 1e-10 * (qq + bb.max()) + 4.0 * 10.0 ** -TIE_PLACES * np.sqrt(np.where(np.isfinite(edge), edge, 0.0)) + 1e-16
+        at, to = np.nonzero((rough <= (edge + room)[:, None]) & np.isfinite(rough))
+        diff = q[at] - b[to]
+        exact = np.sqrt(np.einsum("nd,nd->n", diff, diff))
+        order = np.lexsort((mkeys[to], np.round(exact, TIE_PLACES), at))
+        at, to, exact = at[order], to[order], exact[order]
+        rank = np.arange(len(at)) - np.searchsorted(at, at)
+        best = rank < k
         parts.append(pd.DataFrame({
-            "grp": grp, "key": np.repeat(keys, keep.sum(axis=1)), "neighbour": mkeys[order][keep], "distance": best[keep],
+            "grp": grp, "key": keys[at[best]], "neighbour": mkeys[to[best]], "distance": exact[best],
         }))
     return pd.concat(parts)
 
@@ -185,7 +217,7 @@ def _search_home(k: int):
     return search
 
 
-def _route(queries: DataFrame, pivots: list, cells: list, k: int) -> DataFrame:
+def _route(queries: DataFrame, pivots: list, cells: list, k: int, probes: int | None) -> DataFrame:
     """One row per query and cell that may hold a closer point."""
     centres = dict(pivots)
     shape = {}
@@ -206,7 +238,10 @@ def _route(queries: DataFrame, pivots: list, cells: list, k: int) -> DataFrame:
                 for piece, gaps in _gaps(np.stack(part["v"].to_numpy()), centres[g][ids]):
                     nearest_possible = np.maximum(gaps - radius, inner - gaps)
                     # a little slack keeps rounding from hiding a tie
-                    q, c = np.nonzero(nearest_possible <= far[piece, None] + 10.0 ** -TIE_PLACES)
+                    near = nearest_possible <= far[piece, None] + 10.0 ** -TIE_PLACES
+                    if probes is not None and probes < gaps.shape[1]:
+                        near &= gaps <= np.partition(gaps, probes - 1, axis=1)[:, probes - 1:probes]
+                    q, c = np.nonzero(near)
                     rows = part.iloc[piece].iloc[q]
                     yield pd.DataFrame({
                         "grp": rows["grp"].to_numpy(), "key": rows["key"].to_numpy(), "v": rows["v"].to_numpy(),

@@ -7,19 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.hashed import flag_lowest, flag_lowest_by, hash_text, hash_unit, hex_int
-from ..plans.lookup import checked_small, join_small
+from ..plans.lookup import maybe_broadcast, repeat_rows
 from ..plans.names import col
-from ..plans.ranking import row_count
 from ..plans.scratch import written
 from .neighbours import nearest_neighbours
 
-MAX_CLASSES = 1_000
-
 
 def random_split(df: DataFrame, key: Sequence[str], test: float = 0.3, seed: int = 42) -> DataFrame:
     """Split with exactly ``ceil(test * n)`` test rows."""
-    quota = F.ceil(row_count(df) * F.lit(test))
-    flagged = flag_lowest(df, key, seed, quota, "_test")
+    flagged = flag_lowest(df, key, seed, lambda n, _: F.ceil(n * F.lit(test)), "_test")
     return flagged.withColumn("split", F.when(F.col("_test"), "test").otherwise("train")).drop("_test")
 
 
@@ -31,17 +27,20 @@ def random_split_by_hash(df: DataFrame, key: Sequence[str], test: float = 0.3, s
 
 def undersample(df: DataFrame, label: str, key: Sequence[str], positive=1, negative=0, seed: int = 42) -> DataFrame:
     """All positive rows and as many negative ones, drawn without replacement."""
-    common = df.filter(col(label) == F.lit(negative))
-    quota = row_count(df.filter(col(label) == F.lit(positive)))
-    drawn = flag_lowest(common, key, seed, quota, "_drawn").filter("_drawn").drop("_drawn")
-    return df.filter(col(label) == F.lit(positive)).unionAll(drawn)
+    kept = df.filter(col(label).isin(positive, negative))
+    drawn = flag_lowest(kept, key, seed, lambda _, positives: positives, "_drawn", among=col(label) == F.lit(negative))
+    return drawn.filter(F.col("_drawn") | (col(label) == F.lit(positive))).drop("_drawn")
 
 
 def undersample_and_split(
     df: DataFrame, label: str, key: Sequence[str], positive=1, negative=0, test: float = 0.3, seed: int = 42
 ) -> DataFrame:
-    """Balance the classes, then cut off a test part of the balanced rows."""
-    balanced = undersample(df, label, key, positive, negative, seed)
+    """Balance the classes, then cut off a test part of the balanced rows.
+
+    The balanced rows, twice the positive ones, are written between the two steps, so the
+    source is read three times in all.
+    """
+    balanced = written(undersample(df, label, key, positive, negative, seed), "balanced")
     return random_split(balanced, key, test, f"{seed}s")
 
 
@@ -51,9 +50,8 @@ def shuffle_key(df: DataFrame, key: Sequence[str], name: str = "shuffle_key", se
 
 
 def class_sizes(df: DataFrame, label: str) -> DataFrame:
-    """Rows per class as a small, checked table."""
-    counts = df.filter(col(label).isNotNull()).groupBy(col(label)).agg(F.count("*").alias("n"))
-    return checked_small(counts, MAX_CLASSES, "the list of classes")
+    """Rows per class."""
+    return df.filter(col(label).isNotNull()).groupBy(col(label)).agg(F.count("*").alias("n"))
 
 
 def smote(
@@ -64,46 +62,43 @@ def smote(
     Returns ``key, copy, label, vector, synthetic``: the given rows with copy 0 and, for
     each, its share of new points ``x + u * (neighbour - x)``.  The neighbour is one of
     the ``k`` nearest of the same class.  Shares differ by at most one; the rows that
-    get one more are drawn by hash, as are neighbour and ``u``.
+    get one more are drawn by hash, as are neighbour and ``u``.  Every row learns the vectors
+    of its ``k`` neighbours before it grows; what has grown is never joined or shuffled.
     """
     points = written(
         df.filter(col(label).isNotNull())
         .select(col(key).alias("key"), col(label).alias("label"), col(vector).cast("array<double>").alias("vector")),
         "smote-points",
     )
-    sizes = class_sizes(points, "label")
-    rows = sizes.collect()  # one row per class, checked above
-    largest = max(r["n"] for r in rows)
-    short = {r["label"]: r["n"] for r in rows if r["n"] < largest}
-    too_small = sorted(str(c) for c, n in short.items() if n <= k)
-    if too_small:
-        raise ValueError(f"classes with no more than {k} rows cannot be grown: {', '.join(too_small)}")
     kept = points.select("key", F.lit(0).cast("bigint").alias("copy"), "label", "vector", F.lit(False).alias("synthetic"))
-    if not short:
+    sizes = written(class_sizes(points, "label"), "smote-classes")
+    largest = sizes.agg(F.max("n")).first()[0] or 0
+    short = sizes.filter(F.col("n") < largest)
+    too_small = short.filter(F.col("n") <= k).orderBy("n").limit(20).collect()
+    if too_small:
+        names = ", ".join(sorted(str(r["label"]) for r in too_small))
+        raise ValueError(f"classes with no more than {k} rows cannot be grown: {names}")
+    if short.isEmpty():
         return kept
 
-    spark = df.sparkSession
-    label_type = points.schema["label"].dataType.simpleString()
-    plan = spark.createDataFrame(
-        [(c, n, (largest - n) // n, (largest - n) % n) for c, n in short.items()],
-        f"label {label_type}, n bigint, each bigint, k bigint",
-    )
-    growing = join_small(points, plan.select("label", "n", "each"), ["label"])
+    missing = F.lit(largest) - F.col("n")
+    plan = short.select("label", F.floor(missing / F.col("n")).cast("bigint").alias("each"), (missing % F.col("n")).alias("k"))
+    growing = points.join(maybe_broadcast(plan.select("label", "each")), "label")
     shared = flag_lowest_by(growing, ["label"], ["key"], seed, plan.select("label", "k"), "_extra")
     copies = F.col("each") + F.col("_extra").cast("bigint")
-    draw = hash_text(seed, F.col("key"), F.col("copy"))
-    wanted = (
-        shared.withColumn("_copies", copies).filter("_copies > 0")
-        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))))
-        .select("key", "copy", "label", "vector",
-                (F.lit(1) + hex_int(draw, 1, 8) % k).cast("int").alias("rank"), hash_unit(draw, 9).alias("u"))
-    )
     near = nearest_neighbours(growing, "key", "vector", k, group="label", block_rows=block_rows)
-    others = points.select(F.col("key").alias("neighbour"), F.col("vector").alias("_to"))
+    others = points.select(F.col("key").alias("neighbour"), F.col("vector").alias("to"))
+    # k vectors per row
+    around = near.select("key", "rank", "neighbour").join(others, "neighbour").groupBy("key").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "to"))).alias("_near"))
+    ready = shared.withColumn("_copies", copies).filter("_copies > 0").join(around, "key")
+    ready = written(ready.select("key", "label", "vector", "_near", "_copies"), "smote-ready")
+    draw = hash_text(seed, F.col("key"), F.col("copy"))
     made = (
-        wanted.join(near.select("key", "rank", "neighbour"), ["key", "rank"])
-        .join(others, "neighbour")
-        .withColumn("vector", F.zip_with("vector", "_to", lambda a, b: a + F.col("u") * (b - a)))
+        repeat_rows(ready, "_copies", "copy")
+        .withColumn("_to", F.get("_near", (hex_int(draw, 1, 8) % k).cast("int")).getField("to"))
+        .withColumn("_u", hash_unit(draw, 9))
+        .withColumn("vector", F.zip_with("vector", "_to", lambda a, b: a + F.col("_u") * (b - a)))
         .select("key", "copy", "label", "vector", F.lit(True).alias("synthetic"))
     )
     return kept.unionAll(made)

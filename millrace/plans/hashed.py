@@ -9,11 +9,11 @@ share their hash and could not be told apart.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .lookup import join_small, one_row
+from .lookup import MAX_SMALL_ROWS, one_row
 from .names import col
 
 BUCKET_HEX_DIGITS = 5  # 2**20 buckets: 10**12 rows leave about 10**6 in one
@@ -39,60 +39,70 @@ def _with_hash(df: DataFrame, key: Sequence[str], seed) -> DataFrame:
     return hashed.withColumn("_b", hex_int(F.col("_h"), 1, BUCKET_HEX_DIGITS))
 
 
-def flag_lowest(df: DataFrame, key: Sequence[str], seed, quota: Column, name: str) -> DataFrame:
-    """Flag the ``quota`` rows with the smallest hash; ``quota`` is one value for all rows."""
-    hashed = _with_hash(df, key, seed)
-    running = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    everything = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+def flag_lowest(
+    df: DataFrame, key: Sequence[str], seed, quota: Callable[[Column, Column], Column], name: str,
+    among: Column | None = None,
+) -> DataFrame:
+    """Flag the rows of ``among`` (or all) with the smallest hashes.
+
+    ``quota`` gives their number from the number of rows in ``among`` and of all others,
+    which the counted buckets tell as well: the table is read once to count, once to
+    rank the bucket at the edge, and once for the result.
+    """
+    inside = F.lit(True) if among is None else F.coalesce(among, F.lit(False))
+    hashed = _with_hash(df, key, seed).withColumn("_in", inside)
+    running = Window.partitionBy("_in").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    total = Window.partitionBy(F.lit(0))
     buckets = (
-        hashed.groupBy("_b").agg(F.count("*").alias("_n"))
+        # at most two rows per bucket
+        hashed.groupBy("_in", "_b").agg(F.count("*").alias("_n"))
         .withColumn("_cum", F.sum("_n").over(running))
-        .withColumn("_k", F.least(quota.cast("bigint"), F.sum("_n").over(everything)))
-        .filter((F.col("_cum") - F.col("_n") < F.col("_k")) & (F.col("_k") <= F.col("_cum")))
+        .withColumn("_ins", F.sum(F.when(F.col("_in"), F.col("_n")).otherwise(0)).over(total))
+        .withColumn("_outs", F.sum(F.when(F.col("_in"), 0).otherwise(F.col("_n"))).over(total))
+        .withColumn("_k", F.least(quota(F.col("_ins"), F.col("_outs")).cast("bigint"), F.col("_ins")))
+        .filter(F.col("_in") & (F.col("_cum") - F.col("_n") < F.col("_k")) & (F.col("_k") <= F.col("_cum")))
         .select("_b", (F.col("_k") - F.col("_cum") + F.col("_n")).alias("_r"))
     )
     edge = one_row(buckets)
     place = [F.col("_h"), *[col(c) for c in key]]
     last = (
-        hashed.filter(F.col("_b") == edge.getField("_b"))
+        hashed.filter(F.col("_in") & (F.col("_b") == edge.getField("_b")))
         .withColumn("_rn", F.row_number().over(Window.orderBy(*place)))
         .filter(F.col("_rn") == edge.getField("_r"))
         .select(F.struct(*place).alias("cut"))
     )
-    flag = F.coalesce(F.struct(*place) <= last.scalar(), F.lit(False))
-    return hashed.withColumn(name, flag).drop("_h", "_b")
+    flag = F.col("_in") & F.coalesce(F.struct(*place) <= last.scalar(), F.lit(False))
+    return hashed.withColumn(name, flag).drop("_h", "_b", "_in")
 
 
 def flag_lowest_by(
     df: DataFrame, groups: Sequence[str], key: Sequence[str], seed, quota: DataFrame, name: str
 ) -> DataFrame:
-    """As ``flag_lowest`` in every group; ``quota`` has the groups and a column ``k``.
-
-    ``quota`` must come from ``checked_small``: one row per group, few groups.
-    """
+    """As ``flag_lowest`` in every group; ``quota`` has the groups and a column ``k``, one row per group."""
     groups = list(groups)
+    few = quota.limit(MAX_SMALL_ROWS + 1).count() <= MAX_SMALL_ROWS
+    hint = F.broadcast if few else (lambda frame: frame)  # edges and cuts: one row per group at most
     hashed = _with_hash(df, key, seed)
     by_bucket = Window.partitionBy(*groups).orderBy("_b")
     running = by_bucket.rowsBetween(Window.unboundedPreceding, 0)
     everything = by_bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     edges = (
-        join_small(hashed.groupBy(*groups, "_b").agg(F.count("*").alias("_n")), quota, groups)
+        hashed.groupBy(*groups, "_b").agg(F.count("*").alias("_n")).join(hint(quota), groups)
         .withColumn("_cum", F.sum("_n").over(running))
         .withColumn("_k", F.least(F.col("k"), F.sum("_n").over(everything)))
         .filter((F.col("_cum") - F.col("_n") < F.col("_k")) & (F.col("_k") <= F.col("_cum")))
         .select(*groups, F.col("_b").alias("_eb"), (F.col("_k") - F.col("_cum") + F.col("_n")).alias("_r"))
     )
     place = [F.col("_h"), *[col(c) for c in key]]
-    # edges and cuts: at most one row per group of the checked quota table
     cuts = (
-        hashed.join(F.broadcast(edges), groups)
+        hashed.join(hint(edges), groups)
         .filter(F.col("_b") == F.col("_eb"))
         .withColumn("_rn", F.row_number().over(Window.partitionBy(*groups).orderBy(*place)))
         .filter(F.col("_rn") == F.col("_r"))
         .select(*groups, F.struct(*place).alias("_cut"))
     )
     return (
-        hashed.join(F.broadcast(cuts), groups, "left")
+        hashed.join(hint(cuts), groups, "left")
         .withColumn(name, F.coalesce(F.struct(*place) <= F.col("_cut"), F.lit(False)))
         .drop("_h", "_b", "_cut")
     )

@@ -47,6 +47,12 @@ def checked_small(df: DataFrame, limit: int = MAX_SMALL_ROWS, what: str = "table
     return df.sparkSession.createDataFrame(rows, df.schema)
 
 
+def maybe_broadcast(df: DataFrame, limit: int = MAX_SMALL_ROWS) -> DataFrame:
+    """A table with a broadcast hint if it has at most ``limit`` rows, else as it is."""
+    rows = df.limit(limit + 1).collect()
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= limit else df
+
+
 def join_small(df: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Broadcast join with a table that ``checked_small`` returned."""
     return df.join(F.broadcast(small), list(on), how)

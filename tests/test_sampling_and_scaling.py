@@ -23,7 +23,7 @@ def test_split_has_exact_size_and_does_not_depend_on_partitions(spark, n):
 
 @pytest.mark.parametrize("quota,expected", [(0, 0), (5, 5), (99, 20)])
 def test_quota_is_kept_at_the_ends(spark, quota, expected):
-    assert flag_lowest(spark.range(20), ["id"], 1, F.lit(quota), "f").filter("f").count() == expected
+    assert flag_lowest(spark.range(20), ["id"], 1, lambda n, _: F.lit(quota), "f").filter("f").count() == expected
 
 
 def test_hash_split_is_near_its_share(spark):
