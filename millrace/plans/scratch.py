@@ -3,16 +3,22 @@
 The folder is the one the session names in ``spark.checkpoint.dir``: it is shared
 by all executors, so a table written there outlives any of them.  Parquet is used
 rather than ``checkpoint()`` because later reads can still prune columns.
+
+Tables stay until they are removed: ``managed`` removes what was written inside it,
+``tables`` lists what is left, ``remove`` takes such a list.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
+_TABLES: dict[str, list[str]] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -28,12 +34,45 @@ def scratch_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[app]
 
 
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_dir(spark)}/millrace/{label}-{uuid.uuid4().hex}"
+def new_path(spark: SparkSession, label: str, keep: bool = False) -> str:
+    """A path for a new table; with ``keep`` it is not listed and never removed here."""
+    path = f"{scratch_dir(spark)}/millrace/{label}-{uuid.uuid4().hex}"
+    if not keep:
+        _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def tables(spark: SparkSession) -> list[str]:
+    """Paths of the scratch tables that this session has made and not removed, oldest first."""
+    return list(_TABLES.get(spark.sparkContext.applicationId, []))
+
+
+def remove(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete scratch tables that no DataFrame in use reads any more."""
+    listed = _TABLES.get(spark.sparkContext.applicationId, [])
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for name in list(paths):
+        if name in listed:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(hadoop).delete(path, True)
+            listed.remove(name)
+
+
+@contextmanager
+def managed(spark: SparkSession) -> Iterator[None]:
+    """Remove at the end the scratch tables written inside.
+
+    What is made inside must be used up inside, but for tables written with ``keep``.
+    """
+    before = set(tables(spark))
+    try:
+        yield
+    finally:
+        remove(spark, [p for p in tables(spark) if p not in before])
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write the table once and go on from the files."""
-    path = new_path(df.sparkSession, label)
+    path = new_path(df.sparkSession, label, keep)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -143,6 +143,19 @@ def test_scratch_follows_the_session(spark):
     assert rows_of(scratch.written(spark.range(2), "t")) == [(0,), (1,)]
 
 
+def test_managed_scratch_is_empty_afterwards(spark):
+    import os
+
+    left = scratch.tables(spark)
+    with scratch.managed(spark):
+        scratch.written(spark.range(3), "inside")
+        kept = scratch.written(spark.range(2), "kept", keep=True)
+        made = [p for p in scratch.tables(spark) if p not in left]
+        assert len(made) == 1 and os.path.exists(made[0].removeprefix("file:"))
+    assert scratch.tables(spark) == left and not os.path.exists(made[0].removeprefix("file:"))
+    assert kept.count() == 2
+
+
 def _event(day, hour, value):
     return (dt.datetime(2024, 1, day, hour), value)
 
