@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
 _TABLES: dict[str, list[str]] = {}
+_OUTLIVING: set[str] = set()
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -34,10 +35,10 @@ def scratch_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[app]
 
 
-def new_path(spark: SparkSession, label: str, keep: bool = False) -> str:
-    """A path for a new table; with ``keep`` it is not listed and never removed here."""
+def new_path(spark: SparkSession, label: str, listed: bool = True) -> str:
+    """A path for a new table; one that is not listed is the caller's and never removed here."""
     path = f"{scratch_dir(spark)}/millrace/{label}-{uuid.uuid4().hex}"
-    if not keep:
+    if listed:
         _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
 
@@ -62,17 +63,19 @@ def remove(spark: SparkSession, paths: Iterable[str]) -> None:
 def managed(spark: SparkSession) -> Iterator[None]:
     """Remove at the end the scratch tables written inside.
 
-    What is made inside must be used up inside, but for tables written with ``keep``.
+    What is made inside must be used up inside, but for tables written with ``outlives``.
     """
     before = set(tables(spark))
     try:
         yield
     finally:
-        remove(spark, [p for p in tables(spark) if p not in before])
+        remove(spark, [p for p in tables(spark) if p not in before and p not in _OUTLIVING])
 
 
-def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
-    """Write the table once and go on from the files."""
-    path = new_path(df.sparkSession, label, keep)
+def written(df: DataFrame, label: str, outlives: bool = False) -> DataFrame:
+    """Write the table once and go on from the files; it may outlive the ``managed`` block it is made in."""
+    path = new_path(df.sparkSession, label)
+    if outlives:
+        _OUTLIVING.add(path)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

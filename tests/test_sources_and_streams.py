@@ -149,11 +149,13 @@ def test_managed_scratch_is_empty_afterwards(spark):
     left = scratch.tables(spark)
     with scratch.managed(spark):
         scratch.written(spark.range(3), "inside")
-        kept = scratch.written(spark.range(2), "kept", keep=True)
+        kept = scratch.written(spark.range(2), "kept", outlives=True)
         made = [p for p in scratch.tables(spark) if p not in left]
-        assert len(made) == 1 and os.path.exists(made[0].removeprefix("file:"))
-    assert scratch.tables(spark) == left and not os.path.exists(made[0].removeprefix("file:"))
+        assert len(made) == 2 and os.path.exists(made[0].removeprefix("file:"))
+    assert scratch.tables(spark) == [*left, made[1]] and not os.path.exists(made[0].removeprefix("file:"))
     assert kept.count() == 2
+    scratch.remove(spark, made)
+    assert scratch.tables(spark) == left and not os.path.exists(made[1].removeprefix("file:"))
 
 
 def _event(day, hour, value):
