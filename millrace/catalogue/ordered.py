@@ -25,12 +25,12 @@ def systematic_sample(t):
 
 
 @query("chrono_split", f"""
-    WITH {_IDX} SELECT event_id, row_idx,
+    WITH {_IDX} SELECT event_id,
         CASE WHEN row_idx < floor({_N} * 0.7::DOUBLE) THEN 'train'
              WHEN row_idx < floor({_N} * (0.7::DOUBLE + 0.2::DOUBLE)) THEN 'val' ELSE 'test' END AS split
     FROM idx""")
 def chrono_split(t):
-    return ordering.chronological_split(_events(t), ["ts", "event_id"]).select("event_id", "row_idx", "split")
+    return ordering.chronological_split(_events(t), ["ts", "event_id"]).select("event_id", "split")
 
 
 @query("kfold_assign", """

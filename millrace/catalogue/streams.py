@@ -12,7 +12,7 @@ from .registry import query
     GROUP BY date_trunc('day', ts), event_type
     HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
 def stream_resample(t):
-    events = streaming.read_parquet_stream(t.spark, t.path("event*")).select("ts", "event_type", "value")
+    events = streaming.read_parquet_stream(t.spark, t.path("events") + "*").select("ts", "event_type", "value")
     daily = streaming.resample_stream(events, "ts", ["value"], "1 day", "1 hour", keys=["event_type"])
     return streaming.run_available(daily.withColumn("value", clean_zero(F.col("value"))), "stream-resample")
 
@@ -23,7 +23,7 @@ def stream_resample(t):
     FROM events, (SELECT avg(value) AS m, stddev_pop(value) AS s FROM events)""")
 def stream_zscore_flag(t):
     stats = streaming.frozen_stats(t.events, ["value"])
-    events = streaming.read_parquet_stream(t.spark, t.path("event*")).select("event_id", "value")
+    events = streaming.read_parquet_stream(t.spark, t.path("events") + "*").select("event_id", "value")
     scored = streaming.score_stream(events, stats)
     out = scored.withColumns({"value_z": clean_zero(F.col("value_z")), "extreme_tag": F.array_join("extreme_tag", ",")})
     return streaming.run_available(out, "stream-zscore")

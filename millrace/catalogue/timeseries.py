@@ -46,11 +46,8 @@ def resample_day_sum(t):
 @query("resample_day_firstlast", _resample_sql(
     "day", "1 DAY", "arg_min(value, (ts, event_id)) AS first_value, arg_max(value, (ts, event_id)) AS last_value"))
 def resample_day_firstlast(t):
-    events = _user_events(t)
-    first = timeseries.resample(events, "ts", ["value"], "D", "first", ["user_id"], ["event_id"])
-    last = timeseries.resample(events, "ts", ["value"], "D", "last", ["user_id"], ["event_id"])
-    return first.withColumnRenamed("value", "first_value").join(
-        last.withColumnRenamed("value", "last_value"), ["user_id", "ts"])
+    ends = {"first_value": ("value", "first"), "last_value": ("value", "last")}
+    return timeseries.resample(_user_events(t), "ts", ends, "D", keys=["user_id"], tie_break=["event_id"])
 
 
 @query("resample_week_max", _resample_sql(

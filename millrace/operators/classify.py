@@ -81,7 +81,7 @@ def fold_scores(
     spark = df.sparkSession
     ready = written(
         assemble(df, features).select("features", col(label).cast("double").alias(label), fold), "cv-rows"
-    )
+    ).persist()
     sizes = {r[fold]: r["n"] for r in ready.groupBy(fold).agg(F.count("*").alias("n")).collect()}  # k numbers
     folds = sorted(sizes)
 
@@ -92,11 +92,16 @@ def fold_scores(
             balanced = balance(df.filter(col(fold) != number))
             train = assemble(balanced, features).select("features", col(label).cast("double").alias(label))
             n = train.count()
-        train = train.select("features", label).persist()
         scored = ready.filter(col(fold) == number)
-        with ThreadPool(len(strengths)) as fits:
-            models = fits.map(lambda C: _estimator(label, C, n, tol, max_iter).fit(train), strengths)
-        train.unpersist()
+        try:
+            # plain folds are filters of the one cached table; drawn or made-up rows are cached per fold
+            train = train.select("features", label)
+            train = train if balance is None else train.persist()
+            with ThreadPool(len(strengths)) as fits:
+                models = fits.map(lambda C: _estimator(label, C, n, tol, max_iter).fit(train), strengths)
+        finally:
+            if balance is not None:
+                train.unpersist()
         for i, model in enumerate(models):
             model.setPredictionCol(f"p{i}").setProbabilityCol("").setRawPredictionCol("")
             scored = model.transform(scored)
@@ -107,8 +112,11 @@ def fold_scores(
         row = scored.agg(*recalls).first()
         return [(float(C), int(number), float(row[i])) for i, C in enumerate(strengths)]
 
-    with ThreadPool(max(1, min(parallelism, len(folds)))) as pool:
-        parts = pool.map(run, folds)
+    try:
+        with ThreadPool(max(1, min(parallelism, len(folds)))) as pool:
+            parts = pool.map(run, folds)
+    finally:
+        ready.unpersist()
     return spark.createDataFrame([r for part in parts for r in part], "C double, fold int, recall double")
 
 

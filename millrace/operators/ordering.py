@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from math import floor
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..plans.ranking import row_count, row_index
+from ..plans.ranking import before_key, keys_at, row_count, row_index
 
 
 def systematic_sample(df: DataFrame, order_by: Sequence[str], start: int = 0, step: int = 1) -> DataFrame:
@@ -21,9 +23,14 @@ def chronological_split(
     """Cut the ordered rows into train, val and test at whole-row positions.
 
     The second cut is ``floor(n * (train + val))`` in double arithmetic, which for
-    0.7 and 0.2 falls one row short of nine tenths at some sizes.
+    0.7 and 0.2 falls one row short of nine tenths at some sizes.  ``order_by`` is a total
+    order of numbers, dates or times: the keys at the two cuts are found by counting,
+    and every row is compared with them; none is sorted or shuffled.
     """
-    return split_by_position(row_index(df, order_by), train, val)
+    n = df.count()
+    first, second = keys_at(df, order_by, [floor(n * train), floor(n * (train + val))])
+    split = F.when(before_key(df, order_by, first), "train").when(before_key(df, order_by, second), "val").otherwise("test")
+    return df.withColumn("split", split)
 
 
 def split_by_position(indexed: DataFrame, train: float = 0.7, val: float = 0.2, index: str = "row_idx") -> DataFrame:
@@ -35,12 +42,11 @@ def split_by_position(indexed: DataFrame, train: float = 0.7, val: float = 0.2,
 
 
 def contiguous_folds(df: DataFrame, order_by: Sequence[str], k: int = 5, name: str = "fold") -> DataFrame:
-    """Number ``k`` runs of consecutive rows; the first ``n mod k`` are one row longer."""
-    indexed = row_index(df, order_by)
-    n = row_count(indexed)
-    size, extra = F.floor(n / k), n % k
-    boundary = (size + 1) * extra
-    fold = F.when(F.col("row_idx") < boundary, F.floor(F.col("row_idx") / (size + 1))).otherwise(
-        extra + F.floor((F.col("row_idx") - boundary) / F.nullif(size, F.lit(0)))
-    )
-    return indexed.withColumn(name, fold.cast("int"))
+    """Number ``k`` runs of consecutive rows; the first ``n mod k`` are one row longer.
+
+    Like ``chronological_split``, the rows are compared with the keys that begin each fold.
+    """
+    size, extra = divmod(df.count(), k)
+    starts = keys_at(df, order_by, [i * size + min(i, extra) for i in range(1, k)])
+    passed = [F.when(before_key(df, order_by, key), 0).otherwise(1) for key in starts]
+    return df.withColumn(name, reduce(lambda a, b: a + b, passed, F.lit(0)).cast("int"))

@@ -42,7 +42,7 @@ def bucket_start(ts: Column, freq: str) -> Column:
 def resample(
     df: DataFrame,
     time: str,
-    values: Sequence[str],
+    values: Sequence[str] | Mapping[str, tuple[str, str]],
     freq: str = "H",
     how: str = "mean",
     keys: Sequence[str] = (),
@@ -53,14 +53,16 @@ def resample(
     Empty buckets hold null, or 0 for sums.  ``first`` and ``last`` skip nulls and
     follow ``time`` and then ``tie_break``.  A week starts on Monday and carries the
     date of its Sunday.  Rows are merged to buckets before the shuffle; the gaps are
-    found on the buckets, never on rows.
+    found on the buckets, never on rows.  ``values`` may map names of the result to
+    ``(column, aggregate)``: all are made in one pass.
     """
     if time not in df.columns:
         raise ValueError(f"no time column {time}")
+    wanted = dict(values) if isinstance(values, Mapping) else {c: (c, how) for c in values}
     order = F.struct(col(time), *[col(c) for c in tie_break])
     buckets = (
         df.withColumn("_bucket", bucket_start(col(time), freq)).filter(F.col("_bucket").isNotNull())
-        .groupBy(*keys, "_bucket").agg(*[_aggregate(col(c), how, order).alias(c) for c in values])
+        .groupBy(*keys, "_bucket").agg(*[_aggregate(col(c), h, order).alias(name) for name, (c, h) in wanted.items()])
     )
     step = F.expr(_STEPS[freq])
     following = F.lead("_bucket").over(Window.partitionBy(*keys).orderBy("_bucket"))
@@ -73,11 +75,11 @@ def resample(
 
     def filled(c: str) -> Column:
         value = F.when(real, col(c))
-        return F.coalesce(value, F.lit(0)) if how == "sum" else value
+        return F.coalesce(value, F.lit(0)) if wanted[c][1] == "sum" else value
 
     shown = F.col("_at") + F.expr("INTERVAL 6 DAYS") if freq == "W" else F.col("_at")
     return spread.select(
-        *[col(k) for k in keys], shown.cast("timestamp_ntz").alias(time), *[filled(c).alias(c) for c in values]
+        *[col(k) for k in keys], shown.cast("timestamp_ntz").alias(time), *[filled(c).alias(c) for c in wanted]
     )
 
 

@@ -1,10 +1,9 @@
 """Exact quantiles with linear interpolation, also for columns of many distinct values.
 
-``percentile`` keeps every distinct value of a column in one buffer.  It is used
-only where the row count proves that buffer small.  Beyond that, approximate
-percentiles bracket each wanted rank, the brackets are narrowed by further scans
-until few distinct values can lie inside, and only those are counted and ranked.
-No raw row is shuffled at any size.
+``percentile`` keeps every distinct value of a column in one buffer, so it is not used:
+at every size approximate percentiles bracket each wanted rank, the brackets are
+narrowed by further scans until few distinct values can lie inside, and only those are
+counted and ranked.  No raw row is shuffled.
 """
 
 from __future__ import annotations
@@ -60,9 +59,6 @@ def quantiles(
     data = df.select(*[col(c).cast("double").alias(c) for c in columns])
     counted = data.agg(*[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
     sizes = dict(zip(columns, counted))
-    if max(sizes.values()) <= buffer_limit:
-        return data.agg(*[F.percentile(col(c), F.array(*map(F.lit, probs))).alias(c) for c in columns])
-
     brackets = _first_brackets(data, sizes, probs, accuracy)
     pending = brackets
     while pending:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .names import col
 from .scratch import written
@@ -31,17 +31,95 @@ def row_index(df: DataFrame, order_by: Sequence[str], name: str = "row_idx") ->
     )
     stored = written(placed, "row-index")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per partition of the sort: bounded by spark.sql.shuffle.partitions
+    # one small row per partition of the sort, or per input split where nothing is sorted
     starts = stored.groupBy("_part").agg(F.count("*").alias("_n")).select(
         "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
     )
     return (
-        stored.join(F.broadcast(starts), "_part")
+        stored.join(starts, "_part")
         .withColumn(name, F.col("_start") + F.col("_pos"))
         .drop("_part", "_pos", "_start")
     )
 
 
+CUT_BUCKETS = 1024
+RANKED_ROWS = 100_000
+
+
+def keys_at(df: DataFrame, order_by: Sequence[str], positions: Sequence[int]) -> list[tuple | None]:
+    """The order keys of the rows at 0-based ``positions``, None beyond the last row; no row is shuffled.
+
+    Counting the first order column in equal buckets between its ends finds the bucket of
+    a position; it is counted again in finer buckets until few rows are left to rank.  Where
+    one value holds them all, the next column goes on.  Columns are numbers, dates or times.
+    """
+    order_by = list(order_by)
+    keys = df.select(*[col(c) for c in order_by])
+    seen: dict = {}
+
+    def ends(rows: DataFrame, value: Column, name: tuple) -> tuple:
+        if name not in seen:
+            seen[name] = rows.agg(F.count("*"), F.count(value), F.min(value), F.max(value)).first()
+        return seen[name]
+
+    def counted(rows: DataFrame, value: Column, low, width, name: tuple) -> list:
+        if name not in seen:
+            bucket = F.floor((value - low) / width)
+            seen[name] = rows.groupBy(bucket.alias("b")).agg(
+                F.count("*").alias("n"), F.min(value).alias("low"), F.max(value).alias("high")).orderBy("b").collect()
+        return seen[name]
+
+    def search(rows: DataFrame, rest: list[str], position: int, path: tuple) -> tuple | None:
+        value = _as_number(keys, rest[0])
+        n, known, low, high = ends(rows, value, (path, "ends"))
+        if position >= n:
+            return None
+        if position < n - known:  # nulls come first
+            return search(rows.filter(value.isNull()), rest[1:], position, (*path, None)) if rest[1:] else _ranked(rows, 0)
+        position -= n - known
+        inside, held = rows.filter(value.isNotNull()), known
+        while held > RANKED_ROWS and low < high:
+            # whole numbers stay whole: longs beyond 2**53 must not pass through doubles
+            width = (high - low) // CUT_BUCKETS + 1 if isinstance(low, int) else (high - low) / CUT_BUCKETS
+            for row in counted(inside, value, low, width, (path, low, high)):
+                if position < row["n"]:
+                    low, high, held = row["low"], row["high"], row["n"]
+                    break
+                position -= row["n"]
+            inside = rows.filter(value.between(low, high))
+        if held > RANKED_ROWS and rest[1:]:
+            return search(inside, rest[1:], position, (*path, low))
+        return _ranked(inside, position)
+
+    def _ranked(rows: DataFrame, position: int) -> tuple:
+        # few rows, or rows of one value in every order column
+        return tuple(rows.orderBy(*[col(c) for c in order_by]).offset(position).limit(1).first())
+
+    return [search(keys, order_by, p, ()) for p in positions]
+
+
+def _as_number(df: DataFrame, name: str) -> Column:
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.DateType):
+        return F.unix_date(col(name)).cast("bigint")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(col(name).cast("timestamp"))
+    if isinstance(kind, T.IntegralType):
+        return col(name).cast("bigint")
+    if isinstance(kind, T.NumericType):
+        return col(name).cast("double")
+    raise TypeError(f"{name} cannot be cut by value: {kind.simpleString()}")
+
+
+def before_key(df: DataFrame, order_by: Sequence[str], key: tuple | None) -> Column:
+    """True for rows that come before ``key`` in the order; all do where there is no key."""
+    if key is None:
+        return F.lit(True)
+    place = F.struct(*[col(c) for c in order_by])
+    cut = F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(order_by, key)])
+    return place < cut
+
+
 def row_count(df: DataFrame):
     """The number of rows as a scalar subquery column."""
     return df.agg(F.count("*").alias("n")).scalar()

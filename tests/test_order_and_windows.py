@@ -51,6 +51,26 @@ def test_chronological_cuts(spark, n, first, second):
     assert found == {k: "train" if k < first else "val" if k < second else "test" for k in range(n)}
 
 
+def test_keys_at_positions(spark, monkeypatch):
+    from millrace.plans import ranking
+
+    monkeypatch.setattr(ranking, "RANKED_ROWS", 7)
+    monkeypatch.setattr(ranking, "CUT_BUCKETS", 3)
+    rows = [(i * i * 10**12 + 2**53, i % 3, i) for i in range(50)] + [(5, i // 20, 100 + i) for i in range(60)]
+    rows += [(None, 1, 200 + i) for i in range(20)] + [(5, None, 300 + i) for i in range(10)]
+    df = spark.createDataFrame(rows, "a bigint, b int, c bigint").repartition(4)
+    ordered = [tuple(r) for r in df.orderBy("a", "b", "c").collect()]
+    wanted = [0, 1, 19, 20, 25, 33, 60, 89, 90, 100, 139, 140, 1000]
+    assert ranking.keys_at(df, ["a", "b", "c"], wanted) == [ordered[p] if p < len(ordered) else None for p in wanted]
+    cut = ranking.before_key(df, ["a", "b", "c"], ordered[33])
+    assert df.filter(cut).count() == 33
+
+
+def test_cuts_shuffle_no_rows(spark):
+    split = ordering.chronological_split(spark.range(50), ["id"])
+    assert "Exchange" not in split._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("n,sizes", [(11, [3, 2, 2, 2, 2]), (10, [2] * 5), (4, [1, 1, 1, 1])])
 def test_fold_sizes(spark, n, sizes):
     folds = ordering.contiguous_folds(numbers(spark, n), ["k"], 5).orderBy("k").collect()
@@ -100,7 +120,7 @@ def test_forecasts_of_a_ramp(ramp):
 
 def test_linear_candidate_wins_on_a_ramp(spark, tmp_path):
     df = spark.range(120).select("id", F.col("id").cast("double").alias("T"))
-    split = ordering.chronological_split(df, ["id"], 0.4, 0.3)
+    split = ordering.split_by_position(row_index(df, ["id"]), 0.4, 0.3)
     windows = timeseries.sliding_windows(split, ["T"], within=["split"]).cache()
     models = forecast.fit_direct(windows, ["T"], ["T"])
     linear = forecast.predict_direct(windows, models, ["T"], ["T"])
