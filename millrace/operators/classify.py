@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..plans.names import col
 from ..plans.scratch import written
-from .metrics import binary_metrics, confusion_counts, ratio
+from .metrics import THRESHOLDS, binary_metrics, confusion_counts, ratio, threshold_sweep
 from .ordering import contiguous_folds
 
 # Fixed values.
@@ -137,6 +137,11 @@ def select_strength(
     return table.filter("selected").first()["C"]
 
 
+def model_sweep(model: PipelineModel, df: DataFrame, label: str, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
+    """Counts and rates of a fitted model at every threshold on the probability of class 1."""
+    return threshold_sweep(predict(model, df), label, "p1", thresholds)
+
+
 def long_metrics(scored: DataFrame, strategy: str, y_true: str, y_pred: str = "y_pred") -> DataFrame:
     """``strategy, metric, value`` of one set of predictions, confusion counts included."""
     names = ["accuracy", "precision", "recall", "f1"]

@@ -132,3 +132,20 @@ def compare_candidates(candidates: dict[str, DataFrame], targets: Sequence[str],
 def best_candidate(comparison: DataFrame) -> str:
     return comparison.filter("selected").select("candidate").first()[0]
 
+
+
+def keep_best(
+    candidates: dict[str, DataFrame], fitted: dict[str, dict], windows: DataFrame, columns: Sequence[str],
+    targets: Sequence[str], path: str, split: str = "split",
+) -> tuple[str, DataFrame]:
+    """Name of the candidate with the least validation error and its forecasts.
+
+    A fitted winner is saved under ``path`` and forecasts as it was loaded from there; a
+    persistence has nothing to save.
+    """
+    best = best_candidate(compare_candidates(candidates, targets, split))
+    if best not in fitted:
+        return best, candidates[best]
+    as_pipeline(fitted[best]).write().overwrite().save(path)
+    stages = PipelineModel.load(path).stages
+    return best, predict_direct(windows, dict(zip(sorted(fitted[best]), stages)), columns, targets)

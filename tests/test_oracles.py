@@ -7,7 +7,6 @@ from conftest import SMALL
 from __spark_entry__ import entry, oracle_sql, queries
 
 ORACLES, QUERIES = oracle_sql(), queries()
-SLOW = {"strategy_compare", "cv_select"}  # their parts are tested on fixtures
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +19,7 @@ def test_same_rows_as_sql(spark, duck, name):
     assert compare(spark, duck, QUERIES[name], ORACLES[name], SMALL) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_gives_rows(spark, name):
     assert QUERIES[name](spark, SMALL).count() > 0
 
