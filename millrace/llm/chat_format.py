@@ -24,6 +24,8 @@ BLOCK, NEXT, END = "<|im_start|>", "<|im_next|>", "<|im_end|>\n"
 # to make the escapes reversible.
 ESCAPES = [("\\", "\\b"), ("<|", "\\o"), ("</s>", "\\e"), ("<s>", "\\s"), ("[INST]", "\\i"), ("[/INST]", "\\j")]
 LINE_END = ("\n", "\\n")
+CHUNK_TURNS = 256
+PIECE_CHARS = 4096
 
 
 def _replace(text: Column, old: str, new: str) -> Column:
@@ -74,11 +76,22 @@ def format_conversations(
             F.when(t["role"] == trained_role, F.concat(acc["spans"], F.array(span)))
             .otherwise(acc["spans"]).alias("spans"))
 
-    start = F.struct(
-        F.lit(None).cast("string").alias("role"), F.lit(0).alias("at"),
-        F.array().cast("array<string>").alias("pieces"),
-        F.array().cast("array<struct<at:int,length:int>>").alias("spans"))
-    merged = collected.withColumn("m", F.aggregate("turns", start, add))
+    def state(role: Column, at: Column) -> Column:
+        return F.struct(
+            role.alias("role"), at.alias("at"), F.array().cast("array<string>").alias("pieces"),
+            F.array().cast("array<struct<at:int,length:int>>").alias("spans"))
+
+    def add_chunk(acc: Column, number: Column) -> Column:
+        # arrays grow inside a chunk, and once per chunk outside: not once per turn of a long conversation
+        chunk = F.slice("turns", number * CHUNK_TURNS + 1, F.lit(CHUNK_TURNS))
+        done = F.aggregate(chunk, state(acc["role"], acc["at"]), add)
+        return F.transform(F.array(done), lambda d: F.struct(
+            d["role"].alias("role"), d["at"].alias("at"), F.concat(acc["pieces"], d["pieces"]).alias("pieces"),
+            F.concat(acc["spans"], d["spans"]).alias("spans")))[0]
+
+    chunks = F.sequence(F.lit(0), F.floor((F.size("turns") - 1) / CHUNK_TURNS).cast("int"))
+    start = state(F.lit(None).cast("string"), F.lit(0))
+    merged = collected.withColumn("m", F.aggregate(chunks, start, add_chunk))
     return merged.select(
         "conv_id", F.concat(F.array_join("m.pieces", ""), F.lit(END)).alias("formatted"),
         F.col("m.spans").alias("loss_spans"))
@@ -97,7 +110,18 @@ def read_conversations(formatted: DataFrame) -> DataFrame:
         return F.transform(texts, lambda t: F.struct(plain_role.alias("role"), unescape(t).alias("text")))
 
     turns = F.flatten(F.transform(blocks, block_turns))
-    under_mask = F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["at"] + 1, s["length"])))
+    # spans are cut from short pieces: a place far into a long text is found by walking there
+    pieces = F.transform(
+        F.sequence(F.lit(0), F.floor(F.length("formatted") / PIECE_CHARS).cast("int")),
+        lambda i: F.substring(F.col("formatted"), i * PIECE_CHARS + 1, F.lit(PIECE_CHARS)))
+
+    def text_at(pieces: Column, s: Column) -> Column:
+        first, last = (F.floor(x / PIECE_CHARS).cast("int") for x in (s["at"], s["at"] + s["length"]))
+        near = F.array_join(F.slice(pieces, first + 1, last - first + 1), "")
+        return unescape(F.substring(near, s["at"] % PIECE_CHARS + 1, s["length"]))
+
+    # bound as an element, so that the pieces are made once and not for every span
+    under_mask = F.transform(F.array(pieces), lambda p: F.transform("loss_spans", lambda s: text_at(p, s)))[0]
     return formatted.select("conv_id", turns.alias("turns"), under_mask.alias("loss_texts"), "formatted")
 
 

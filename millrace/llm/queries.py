@@ -164,8 +164,9 @@ def _escaped(text: str) -> str:
 """)
 def relational_chat_format(t: Tables) -> DataFrame:
     ok = "</s>[INST] ok [/INST]"
-    extra = t.spark.createDataFrame(
-        [(-1, 0, "user", ok), (-1, 1, "assistant", ok)], "conv_id bigint, turn bigint, role string, text string")
+    extra = t.spark.range(2).select(
+        F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(ok).alias("text"))
     turns = t.conversations.select("conv_id", "turn", "role", "text").unionByName(extra)
     return conversation_digests(read_conversations(format_conversations(turns)))
 

@@ -347,6 +347,16 @@ def test_chat_round_trip(spark):
     assert format_conversations(turns.limit(0)).count() == 0
 
 
+def test_long_conversation(spark):
+    turns = spark.range(30_000).select(
+        F.lit(1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("t"), "id").alias("text"))
+    row = conversation_digests(read_conversations(format_conversations(turns))).first()
+    loss = "".join(f"t{i}" for i in range(30_000) if i % 3)
+    assert (row.n_turns, row.loss_chars) == (30_000, len(loss))
+    assert row.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+
+
 # --- pipeline -------------------------------------------------------------------------------
 
 def test_pipeline_stages(spark, tmp_path):
