@@ -10,21 +10,42 @@ for their id.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from millrace.llm.common import new_path, shuffle_partitions
+from millrace.llm.common import new_path, shuffle_partitions, written
 from millrace.llm.decontaminate import contamination
 from millrace.llm.mixing import mix
 from millrace.llm.near_dedup import near_duplicates
 from millrace.llm.quality import classify, trusted_ids
 from millrace.llm.queries import tokenizer_path
 from millrace.llm.token_files import read_documents, write_token_files
+from millrace.plans import scratch
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_LEFT: list[str] = []
+
+
+def _stage(build: Stage) -> Stage:
+    """Remove the scratch tables of the stages before: their results have been written and read again."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        scratch.remove(spark, _LEFT)
+        before = set(scratch.tables(spark))
+        result = build(spark, docs, sf_dir)
+        _LEFT[:] = [p for p in scratch.tables(spark) if p not in before]
+        return result
+
+    return run_stage
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.distinct(), "doc_id", "left_anti").select(*docs.columns)
+    # ids to remove grow with the documents: joined by shuffle at every size
+    return docs.join(ids.distinct().hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
+@_stage
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents whose perplexity lies outside the limits of their language."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -32,23 +53,31 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return judged.filter("kept").select("doc.*")
 
 
+@_stage
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the least id of each group of near-duplicates; of rows that repeat an id, one."""
     groups = near_duplicates(docs, percent=80, k=5)
-    left = _without(docs, groups.filter(~F.col("kept")).select("doc_id"))
-    rows = left.select(F.struct("*").alias("d"))
-    # rows without an id are told apart by their text, so they do not meet in one task
-    same = Window.partitionBy("d.doc_id", F.when(F.col("d.doc_id").isNull(), F.xxhash64("d.text"))).orderBy(
-        F.xxhash64("d.text"))
-    return rows.withColumn("n", F.row_number().over(same)).filter("n = 1 OR d.doc_id IS NULL").select("d.*")
-
-
+    repeated = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
+    repeated = written(repeated.select("doc_id"), "repeated-ids")
+    dropped = groups.filter(~F.col("kept")).select("doc_id")
+    if repeated.isEmpty():
+        return _without(docs, dropped)
+    dropped = written(dropped.distinct(), "dropped-ids")
+    rows = docs.join(repeated, "doc_id", "left_semi").join(dropped, "doc_id", "left_anti").select(
+        F.struct(*docs.columns).alias("d"))
+    first = Window.partitionBy("d.doc_id").orderBy(F.xxhash64("d.text"))
+    one = rows.withColumn("n", F.row_number().over(first)).filter("n = 1").select("d.*")
+    return _without(docs, dropped.unionAll(repeated)).unionByName(one)
+
+
+@_stage
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold a window of a benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return _without(docs, contamination(docs, benchmark).filter("contaminated").select("doc_id"))
 
 
+@_stage
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Put the documents into the order of the mixture; every document stays.
 
@@ -62,6 +91,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return ordered.select("d.*")
 
 
+@_stage
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Write token files in the order in which the documents are stored, and read them back."""
     stored = [F.col("_metadata.file_name"), F.col("_metadata.row_index")]
@@ -82,9 +112,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, outputs = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for number, (_, stage) in enumerate(STAGES):
-        path = new_path(spark, f"stage-{number}")
+        path = new_path(spark, f"stage-{number}", listed=number < len(STAGES) - 1)
         stage(spark, docs, sf_dir).write.parquet(path)
+        scratch.remove(spark, outputs)
+        outputs = [path]
         docs = spark.read.parquet(path)
     return docs

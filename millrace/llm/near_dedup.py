@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..plans.scratch import managed
 from .common import col, prepared, slices, written
 from .components import components
 from .words import NO_SPACE, shingle_sets, words_of
@@ -253,25 +254,26 @@ def near_duplicates(
     sets = written(
         sketch.filter("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id")
         .agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature")), "shingle-sets")
-    regions = forest_regions(sets)
-    screened = regions.join(sets.select("node", "signature"), "node").select("region", "tree", "node", "signature")
-    screened = screened.repartition("region").sortWithinPartitions("region").mapInArrow(
-        _screen(percent / 100 - SLACK), "cell bigint, node bigint, tree int")
-    cells = written(screened.groupBy("cell", "node").agg(F.min("tree").alias("tree")), "cells")
-
-    wanted = cells.select("node").distinct()
-    texts = written(
-        docs.select(col(id_col).cast("bigint").alias("node"), col(text_col).cast("binary").alias("text"))
-        .join(wanted, "node", "left_semi"), "cell-texts")
-    early = cells.filter(F.col("tree") < FIRST_TREES).select("cell", "node", F.col("node").alias("component"))
-    links = written(_links(early, texts, k, percent), "early-links")
-    known = components(links)
-    labelled = cells.filter(F.col("tree") >= FIRST_TREES).join(known, "node", "left").select(
-        "cell", "node", F.coalesce("component", "node").alias("component"))
-    labelled = written(labelled, "late-cells")
-    open_cells = labelled.groupBy("cell").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b")
-    late = written(_links(labelled.join(open_cells, "cell", "left_semi"), texts, k, percent), "late-links")
-    known = components(links.unionByName(late))
+    with managed(docs.sparkSession):
+        regions = forest_regions(sets)
+        screened = regions.join(sets.select("node", "signature"), "node").select("region", "tree", "node", "signature")
+        screened = screened.repartition("region").sortWithinPartitions("region").mapInArrow(
+            _screen(percent / 100 - SLACK), "cell bigint, node bigint, tree int")
+        cells = written(screened.groupBy("cell", "node").agg(F.min("tree").alias("tree")), "cells")
+
+        wanted = cells.select("node").distinct()
+        texts = written(
+            docs.select(col(id_col).cast("bigint").alias("node"), col(text_col).cast("binary").alias("text"))
+            .join(wanted.hint("merge"), "node", "left_semi"), "cell-texts")
+        early = cells.filter(F.col("tree") < FIRST_TREES).select("cell", "node", F.col("node").alias("component"))
+        links = written(_links(early, texts, k, percent), "early-links")
+        known = components(links)
+        labelled = cells.filter(F.col("tree") >= FIRST_TREES).join(known, "node", "left").select(
+            "cell", "node", F.coalesce("component", "node").alias("component"))
+        labelled = written(labelled, "late-cells")
+        open_cells = labelled.groupBy("cell").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b")
+        late = written(_links(labelled.join(open_cells, "cell", "left_semi"), texts, k, percent), "late-links")
+        known = written(components(links.unionByName(late)), "components", outlives=True)
 
     named = sets.select("set_id", "node").join(known, "node", "left").select(
         "set_id", F.coalesce("component", "node").alias("component_id"))

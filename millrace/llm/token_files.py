@@ -200,7 +200,7 @@ def write_token_files(
     empty data set.
     """
     spark = prepared(docs.sparkSession)
-    folder = folder or new_path(spark, "tokens")
+    folder = folder or new_path(spark, "tokens", listed=False)
     keyed = docs.select(
         col(id_col).cast("bigint").alias("doc_id"), col(text_col).alias("text"),
         *[c.alias(f"_k{i}") for i, c in enumerate(order_by)])
