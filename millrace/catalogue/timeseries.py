@@ -149,7 +149,7 @@ def hourly_series(t):
 
 def hourly_windows(t):
     """Windows that stay inside their chronological split."""
-    split = ordering.chronological_split(hourly_series(t), ["ts"])
+    split = ordering.split_by_position(row_index(hourly_series(t), ["ts"]))
     return timeseries.sliding_windows(split, TARGETS, TARGETS, within=["split"])
 
 
