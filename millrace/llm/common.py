@@ -14,8 +14,9 @@ from ..session import ship_package
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
-BLOCK_BYTES = 4 << 20
-BATCH_BYTES = 32 << 20
+#: text that one step of a Python worker works on, and the most that Spark hands it at once
+BLOCK_BYTES = 1 << 20
+BATCH_BYTES = 8 << 20
 BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 __all__ = [

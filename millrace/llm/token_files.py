@@ -35,7 +35,7 @@ from .common import col, new_path, only, prepared, shuffle_partitions, slices, w
 from .token_counts import special_strings
 
 BATCH_ROWS = 512
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 500_000
 CACHED_CHARS = 60
 MANIFEST = "part int, path string, n_docs bigint, n_tokens bigint"
 
