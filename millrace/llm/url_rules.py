@@ -65,10 +65,9 @@ def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float, m
     Of a rule and a shorter one inside it that is at least as confident, only the shorter
     stays.  No labelled urls, or none bad, give no rules.
     """
-    empty = labelled.sparkSession.createDataFrame(
-        [], "rule_id bigint, tokens array<string>, confidence double, support double")
     if not labelled.filter("bad").limit(1).count():
-        return empty
+        none = F.lit(None).cast("double")
+        return labelled.limit(0).select(F.xxhash64("tokens").alias("rule_id"), "tokens", none.alias("confidence"), none.alias("support"))
     baskets = labelled.select(
         F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
@@ -123,12 +122,12 @@ def judge_urls(
     index = inverted_index(mined, counts.join(used, "token", "left_semi"))
     # urls of equal tokens are matched once, so a hot host costs one match
     kinds = parts.select("tokens").distinct()
-    hits = (
+    # written, so that the join below may split the urls of a hot host
+    hits = written(
         kinds.withColumn("token", F.explode("tokens"))
         .join(index.withColumnRenamed("tokens", "needed"), "token")
         .filter(F.size(F.array_except("needed", "tokens")) == 0)
-        .groupBy("tokens").agg(F.max(F.struct("confidence", "needed")).alias("hit"))
-    )
+        .groupBy("tokens").agg(F.max(F.struct("confidence", "needed")).alias("hit")), "url-hits")
     listed = parts.withColumn("listed", list_rule(F.col("host"), F.col("path"), rules))
     return listed.join(hits, "tokens", "left").select(
         "page_id", "host", "path", F.col("listed.rule").alias("rule"),
