@@ -10,6 +10,10 @@ ones in every tree.  Parts of a crowded region also share some of its nodes, so
 Candidates pass an estimate from their whole signatures; what is left is compared on the full
 shingle sets.  Links are merged to components.  Later trees only compare what earlier
 ones have not already put into one component.
+
+Division loses links, so what crowded regions still hold in different components is joined
+exactly: sets at the threshold share one of their rarest shingles (prefix filter).  Lengths
+and parity bitmaps bound the difference of two such sets from below, the full sets decide.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ TREES, DEPTH, LEAST_DEPTH = 16, 8, 4
 FIRST_TREES = 3
 REGION = 128
 ANCHORS = 4
+#: counters of shingles, for an order that begins with rare ones; and 64-bit words of a parity bitmap
+RARITY_BITS, BITMAP_WORDS = 20, 8
 HASHES = TREES * DEPTH
 #: four standard errors of the estimate below a similarity of 0.85 with 128 hashes
 SLACK = 0.13
@@ -77,8 +83,9 @@ def sketches(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
         _sketch(k), "doc_id bigint, n_shingles bigint, set_id binary, signature binary"), "sketches")
 
 
-def forest_regions(nodes: DataFrame) -> DataFrame:
-    """Candidate regions: written table ``region bigint, tree int, node``, at most ``REGION + ANCHORS`` nodes each."""
+def forest_regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Candidate regions ``region bigint, tree int, node``, at most ``REGION + ANCHORS`` nodes each, and, where some
+    were divided, the members ``top bigint, node`` of all that were."""
     trees = nodes.select("node", F.explode(F.transform(
         F.sequence(F.lit(0), F.lit(TREES - 1)),
         lambda t: F.struct(t.alias("tree"), F.substring(F.col("signature"), t * (4 * DEPTH) + 1, F.lit(4 * DEPTH)).alias("key")),
@@ -98,7 +105,7 @@ def forest_regions(nodes: DataFrame) -> DataFrame:
     small = near.filter(F.col("n") <= REGION).select(region(prefix(LEAST_DEPTH)).alias("region"), "tree", "node")
     crowded = near.filter(F.col("n") > REGION).select("node", "tree", "key")
     if not crowded.limit(1).count():
-        return small
+        return small, None
 
     # deeper where it is crowded
     left, cells = crowded, []
@@ -124,7 +131,8 @@ def forest_regions(nodes: DataFrame) -> DataFrame:
     ])).alias("nodes"))
     extra = dealt.select("tree", "top", "region").distinct().join(anchors, ["tree", "top"]).select(
         "region", "tree", F.explode("nodes").alias("node"))
-    return small.unionByName(dealt.select("region", "tree", "node")).unionByName(extra).distinct()
+    regions = small.unionByName(dealt.select("region", "tree", "node")).unionByName(extra).distinct()
+    return regions, dealt.select(region("top").alias("top"), "node")
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -236,6 +244,80 @@ def _links(cells: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     return rows.mapInArrow(_confirm(k, percent), "u bigint, v bigint")
 
 
+def _full_sets(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            sets = shingle_sets(words_of(batch.column(1).to_pylist(), NO_SPACE), k)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
+                names=["node", "shingles"])
+
+    return run
+
+
+def _rarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        values = batch.column(0).flatten().to_numpy().view(np.uint64)
+        counters, counts = np.unique((values >> np.uint64(64 - RARITY_BITS)).astype(np.int64), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(counters), pa.array(counts)], names=["counter", "n"])
+
+
+def _prefixes(counts, percent: int):
+    """The rarest shingles of each set, as many as hold one of any set it can be linked to, and its parity bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts = batch.column(1).offsets.to_numpy()
+            values = batch.column(1).values.to_numpy()
+            heads, bitmaps = [], []
+            for a, b in zip(starts[:-1], starts[1:]):
+                own, n = values[a:b].view(np.uint64), int(b - a)
+                # any order will do that is the same for all sets
+                order = np.lexsort((own, counts.value[(own >> np.uint64(64 - RARITY_BITS)).astype(np.int64)]))
+                heads.append(own[order[:n + (-percent * n // 100) + 1]].view(np.int64))
+                bits = np.bincount((own & np.uint64(64 * BITMAP_WORDS - 1)).astype(np.int64), minlength=64 * BITMAP_WORDS) & 1
+                bitmaps.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(np.diff(starts).astype(np.int64)), pa.array(heads, pa.list_(pa.int64())),
+                 pa.array(bitmaps, pa.list_(pa.int64()))], names=["node", "size", "head", "bitmap"])
+
+    return run
+
+
+def exact_links(sets: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """All links ``u, v`` between rows of ``sets (node, shingles)`` of different components, written.
+
+    A shingle that all but one component lack makes no pair.  Rows of a hot shingle are rows of
+    a join that may be split, and pairs that cannot be linked leave it unwritten.
+    """
+    spark = sets.sparkSession
+    counts = np.zeros(1 << RARITY_BITS, np.int64)
+    # at most 2^RARITY_BITS rows
+    table = sets.select("shingles").mapInArrow(_rarity, "counter bigint, n bigint").groupBy("counter").agg(
+        F.sum("n").alias("n")).toArrow()
+    counts[table["counter"].to_numpy()] = table["n"].to_numpy()
+    heads = sets.mapInArrow(
+        _prefixes(spark.sparkContext.broadcast(counts), percent),
+        "node bigint, size bigint, head array<bigint>, bitmap array<bigint>")
+    heads = written(heads.join(known, "node", "left").withColumn("component", F.coalesce("component", "node")), "heads")
+    tokens = heads.select("node", "component", F.explode("head").alias("token"))
+    mixed = tokens.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b")
+    rows = written(
+        heads.select("node", "component", "size", "bitmap", F.explode("head").alias("token"))
+        .join(mixed.select("token").hint("merge"), "token", "left_semi"), "postings")
+    a, b = (rows.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "size", "bitmap")]) for x in "ab")
+    apart = " + ".join(f"bit_count(bitmap_a[{i}] ^ bitmap_b[{i}])" for i in range(BITMAP_WORDS))
+    pairs = a.hint("merge").join(b, "token").filter(
+        f"component_a < component_b AND 100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)"
+        f" AND {100 + percent} * ({apart}) <= {100 - percent} * (size_a + size_b)"
+    ).select(F.col("node_a").alias("u"), F.col("node_b").alias("v")).distinct()
+    full = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")).hint("merge")
+    both = pairs.join(full("u"), "u").join(full("v"), "v").select(
+        "u", "v", (F.size("set_u") + F.size("set_v")).cast("bigint").alias("n"),
+        F.size(F.array_intersect("set_u", "set_v")).cast("bigint").alias("both"))
+    return written(both.filter(f"100 * both >= {percent} * (n - both)").select("u", "v"), "exact-links")
+
+
 def near_duplicates(
     docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -255,7 +337,7 @@ def near_duplicates(
         sketch.filter("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id")
         .agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature")), "shingle-sets")
     with managed(docs.sparkSession):
-        regions = forest_regions(sets)
+        regions, crowded = forest_regions(sets)
         screened = regions.join(sets.select("node", "signature"), "node").select("region", "tree", "node", "signature")
         screened = screened.repartition("region").sortWithinPartitions("region").mapInArrow(
             _screen(percent / 100 - SLACK), "cell bigint, node bigint, tree int")
@@ -273,7 +355,19 @@ def near_duplicates(
         labelled = written(labelled, "late-cells")
         open_cells = labelled.groupBy("cell").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b")
         late = written(_links(labelled.join(open_cells, "cell", "left_semi"), texts, k, percent), "late-links")
-        known = written(components(links.unionByName(late)), "components", outlives=True)
+        links = links.unionByName(late)
+        known = components(links)
+        if crowded is not None:
+            members = crowded.join(known, "node", "left").select("top", "node", F.coalesce("component", "node").alias("c"))
+            mixed = members.groupBy("top").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a < b").select("top")
+            left = members.join(mixed, "top", "left_semi").select("node").distinct()
+            whole = written(
+                docs.select(col(id_col).cast("bigint").alias("node"), col(text_col).cast("binary").alias("text"))
+                .join(left.hint("merge"), "node", "left_semi").distinct().mapInArrow(_full_sets(k), "node bigint, shingles array<bigint>"),
+                "crowded-sets")
+            links = links.unionByName(exact_links(whole, known, percent))
+            known = components(links)
+        known = written(known, "components", outlives=True)
 
     named = sets.select("set_id", "node").join(known, "node", "left").select(
         "set_id", F.coalesce("component", "node").alias("component_id"))

@@ -187,6 +187,37 @@ def test_near_duplicates(spark, monkeypatch, region):
     assert got == brute_components(texts, 85)
 
 
+def test_links_through_a_hub_alone(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "REGION", 8)  # 600 copies in such regions are as 10,000 in those of 128
+    rnd = random.Random(8)
+    hub = [f"h{i}" for i in range(300)]
+    texts = [" ".join(hub)]
+    for _ in range(600):  # 0.87 to the hub, about 0.77 to each other
+        copy = list(hub)
+        for at in rnd.sample(range(10, 290, 6), 4):
+            copy[at] = f"x{rnd.random()}"
+        texts.append(" ".join(copy))
+    got = near_duplicates(spark.createDataFrame(rows(texts), SCHEMA), percent=85)
+    assert got.filter("component_id != 0").count() == 0
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_pairs_inside_a_template(spark, monkeypatch, percent):
+    monkeypatch.setattr(near_dedup, "REGION", 8)
+    rnd = random.Random(9)
+    template, texts = [f"t{i}" for i in range(200)], []
+    for i in range(150):  # about 0.57 between the pairs, 0.83 or 0.86 within
+        own = template + [f"o{i}.{j}" for j in range(70)]
+        other = list(own)
+        for at in rnd.sample(range(10, 260, 6), 5 if percent == 80 else 4):
+            other[at] = f"x{rnd.random()}"
+        texts += [" ".join(own), " ".join(other)]
+    docs = spark.createDataFrame(rows(texts), SCHEMA)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs, percent=percent).collect()}
+    assert got == brute_components(texts, percent)
+    assert len({c for _, c in got.values()}) == 150
+
+
 def test_near_duplicates_without_ids(spark):
     docs = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (3, "a b c"), (3, "a b c"), (2, "a  b c")],
                                  "doc_id bigint, text string")
