@@ -181,6 +181,16 @@ def test_classifier_keeps_prose_and_drops_noise(spark):
         assert r.perplexity is None if not r.doc.text else r.perplexity == pytest.approx(2 ** r.bits_per_byte)
 
 
+def test_limits_are_quantiles_of_held_out_documents(spark):
+    rnd = random.Random(7)
+    words = ["alpha", "beta", "gamma", "delta", "river", "stone", "light", "water"]
+    data = [(i, " ".join(rnd.choice(words) for _ in range(80)), "en") for i in range(1200)]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, lang string")
+    judged = classify(docs, docs.select("doc_id"))
+    held_out = judged.filter(F.xxhash64(F.lit(0), "doc.doc_id").bitwiseAND(1) == 1)
+    assert 1 <= held_out.filter("NOT kept").count() <= 0.01 * held_out.count()
+
+
 def test_classifier_without_trusted_or_documents(spark):
     docs = quality_docs(spark)
     none = spark.createDataFrame([], "doc_id bigint")
