@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..catalogue.registry import Tables
 from .chat_format import conversation_digests, format_conversations, read_conversations
 from .decontaminate import contamination
+from .embedding_dedup import embedding_duplicates
 from .exact_dedup import exact_duplicates
+from .hard_negatives import hard_negatives
+from .lexical_search import build_index, search
 from .mixing import mix
 from .near_dedup import near_duplicates
 from .pseudonyms import pseudonymize
@@ -174,3 +177,83 @@ def relational_chat_format(t: Tables) -> DataFrame:
 @query("op10_lsh_forest_near_dedup")
 def lsh_forest_near_dedup(t: Tables) -> DataFrame:
     return near_duplicates(t.documents, percent=85, k=5)
+
+
+@query("op11_one_bit_hard_negatives", """
+    WITH e AS (
+        SELECT row_number() OVER () AS r, vec_id,
+               CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               [floor(256 * x) FOR x IN CAST(embedding AS DOUBLE[])] AS v
+        FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    ), scored AS (
+        SELECT a.r AS a, a.vec_id AS anchor_id, b.r AS b, b.vec_id, a.label = b.label AS same,
+               CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+        FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.r <> b.r
+    ), positives AS (
+        SELECT a, anchor_id, vec_id AS positive_id, b AS p, score AS positive_score FROM (
+            SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id, b) AS n FROM scored WHERE same)
+        WHERE n <= 5
+    ), ranked AS (
+        SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+               CAST(row_number() OVER (PARTITION BY p.a, p ORDER BY score DESC, vec_id, b) AS INTEGER) AS rank
+        FROM positives p JOIN scored s ON s.a = p.a AND NOT same
+        WHERE 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+    )
+    SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 5
+""")
+def one_bit_hard_negatives(t: Tables) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(t.embeddings.withColumn("label", label), anchors=F.col("vec_id") % 100 == 0)
+
+
+@query("op12_int8_tile_dedup", """
+    WITH RECURSIVE e AS (
+        SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+    ), links AS (
+        SELECT a.r AS a, b.r AS b FROM e a JOIN e b ON a.label = b.label AND a.r <> b.r
+        WHERE list_cosine_similarity(a.v, b.v) >= 0.98
+    ), reach AS (
+        SELECT r, r AS s FROM e UNION SELECT reach.r, links.b AS s FROM reach JOIN links ON links.a = reach.s
+    ), least AS (
+        SELECT reach.r, min(e.vec_id) AS component_id FROM reach JOIN e ON e.r = reach.s GROUP BY reach.r
+    ), counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+    SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+    FROM e JOIN least ON least.r = e.r LEFT JOIN counts ON counts.a = e.r
+""")
+def int8_tile_dedup(t: Tables) -> DataFrame:
+    return embedding_duplicates(t.embeddings, threshold=0.98)
+
+
+TERMS = "regexp_extract_all(" + LOWERED + r", '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@query("op13_block_max_search", f"""
+    WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {TERMS} AS w FROM documents),
+    sizes AS (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n FROM docs WHERE len(w) > 0),
+    totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sizes),
+    items AS (SELECT row_number() OVER () AS q, item_id, {TERMS} AS w FROM benchmark),
+    asked AS (SELECT q, term, count(*) AS times FROM (SELECT q, unnest(w) AS term FROM items) GROUP BY q, term),
+    held AS (
+        SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM docs)
+        WHERE term IN (SELECT term FROM asked) GROUP BY r, term
+    ),
+    weights AS (
+        SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+        FROM (SELECT term, count(*) AS df FROM held GROUP BY term), totals
+    ),
+    impacts AS (
+        SELECT r, doc_id, term, (1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms)) AS impact
+        FROM held JOIN sizes USING (r), totals
+    ),
+    scores AS (
+        SELECT q, r, doc_id, CAST(sum(times * w * impact) AS BIGINT) AS score
+        FROM asked JOIN weights USING (term) JOIN impacts USING (term) GROUP BY q, r, doc_id
+    ),
+    ranked AS (
+        SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+        FROM scores WHERE score > 0
+    )
+    SELECT item_id, rank, doc_id, score FROM ranked JOIN items USING (q) WHERE rank <= 20
+""")
+def block_max_search(t: Tables) -> DataFrame:
+    return search(build_index(t.documents), t.benchmark, k=20)
