@@ -190,7 +190,7 @@ def lsh_forest_near_dedup(t: Tables) -> DataFrame:
                CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
         FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.r <> b.r
     ), positives AS (
-        SELECT a, anchor_id, vec_id AS positive_id, b AS p, score AS positive_score FROM (
+        SELECT a, anchor_id AS id, vec_id AS positive_id, b AS p, score AS positive_score FROM (
             SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id, b) AS n FROM scored WHERE same)
         WHERE n <= 5
     ), ranked AS (

@@ -221,7 +221,7 @@ def prose(n=1500, seed=8):
     words = [f"w{i}" for i in range(400)] + ["Éa", "ñ", "x1", "THE"]
     weights = [1 / (i + 1) for i in range(len(words))]
     docs = [(i, rnd.choice([" ", ", ", "\n"]).join(rnd.choices(words, weights, k=rnd.choice([1, 5, 40, 200]))), "d") for i in range(n)]
-    docs += [(n + i, docs[i][1], "copy") for i in range(0, 60)]  # ties
+    docs += [(n + i, docs[i][1], "copy") for i in range(min(n, 60))]  # ties
     docs += [(n + 100, None, ""), (n + 101, "", ""), (n + 102, "!? --", ""), (None, "w0 w3 w399", ""), (5, "w5 w5 w5", "")]
     docs += [(n + 103, " ".join(rnd.choices(words, k=30_000)), "long")]
     items = [(i, " ".join(rnd.choices(words, weights, k=rnd.choice([1, 3, 12, 60]))), "x") for i in range(40)]
