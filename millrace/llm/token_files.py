@@ -20,16 +20,19 @@ repeated tasks leave a valid data set.
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from .common import col, new_path, only, prepared, shuffle_partitions, slices, written
 from .token_counts import special_strings
@@ -46,39 +49,72 @@ _PLAIN = re.compile(f"[ -~\\n{_LATIN}]*")
 _PRE_TOKEN = re.compile(
     f"'(?:[stmd]|re|ve|ll)| ?[{_LATIN}]+| ?[0-9]+| ?[!-/:-@\\[-`{{-~]+|[ \\n]+(?![^ \\n])|[ \\n]+")
 
+#: fixed values: byte-level models name printable bytes by themselves and all others by characters from U+0100 on
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_NAMES = {b: 0x100 + i for i, b in enumerate(b for b in range(0x100) if b not in _PRINTABLE)}
+
 _ENCODERS: dict[str, "PreTokenIds"] = {}
 
 
-class PreTokenIds(dict):
-    """Little-endian ids of a pre-token, encoded by the library on first sight.
+class PreTokenIds:
+    """Little-endian ids of texts, by pre-tokens that the library encodes on first sight.
 
     Pre-tokens are encoded independently of each other, so the ids of a text are those of its
-    pre-tokens; equal ones are encoded once per Python worker, up to a bounded number.  Texts
-    with characters whose class the pattern here does not state, or with the string of
+    pre-tokens.  A worker remembers them in two generations: what a text needs moves to the young
+    one, and when that is full the old one is forgotten, so frequent pre-tokens stay and memory is bounded.
+    Texts with characters whose class the pattern here does not state, or with the string of
     a special token, are encoded whole by the library.
     """
 
     def __init__(self, path: str):
-        super().__init__()
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are what runs side by side
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = special_strings(path)
+        self.by_bytes = (
+            self.tokenizer.normalizer is None and isinstance(self.tokenizer.pre_tokenizer, ByteLevel)
+            and not self.tokenizer.pre_tokenizer.add_prefix_space)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def __missing__(self, pre_token: str) -> bytes:
-        ids = self.encode(pre_token)
-        if len(pre_token) <= CACHED_CHARS:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[pre_token] = ids
-        return ids
+    def _merged(self, pre_tokens: list[str]) -> list[list[int]]:
+        if self.by_bytes:  # nothing but the merges of the model is left to do
+            tokenize = self.tokenizer.model.tokenize
+            return [[t.id for t in tokenize(p.encode().decode("latin-1").translate(_BYTE_NAMES))] for p in pre_tokens]
+        return [e.ids for e in self.tokenizer.encode_batch_fast(pre_tokens, add_special_tokens=False)]
+
+    def _learn(self, pre_tokens: list[str]) -> None:
+        unseen = []
+        for p in pre_tokens:
+            ids = self.old.get(p)
+            if ids is None:
+                unseen.append(p)
+            else:
+                self.young[p] = ids
+        if unseen:
+            found = self._merged(unseen)
+            data = np.fromiter(chain.from_iterable(found), self.dtype).tobytes()
+            at, size = 0, self.dtype.itemsize
+            for p, ids in zip(unseen, found):
+                self.young[p] = data[at:at + len(ids) * size]
+                at += len(ids) * size
 
     def of_text(self, text: str) -> bytes:
         if not _PLAIN.fullmatch(text) or any(s in text for s in self.specials):
             return self.encode(text)
-        return b"".join(map(self.__getitem__, _PRE_TOKEN.findall(text)))
+        if len(self.young) >= CACHE_ENTRIES // 2:
+            self.young, self.old = {}, self.young
+        pre_tokens, young = _PRE_TOKEN.findall(text), self.young
+        new = [p for p in set(pre_tokens) if p not in young]
+        self._learn(new)
+        ids = b"".join(map(young.__getitem__, pre_tokens))
+        for p in new:
+            if len(p) > CACHED_CHARS:
+                del young[p]
+        return ids
 
 
 def _encoder(path: str) -> PreTokenIds:
