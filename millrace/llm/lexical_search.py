@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import col, prepared, slices, written
+from .common import col, prepared, shuffle_partitions, slices, written
 from .words import ALNUM, Words, class_of, words_of
 
 BLOCK = 128
@@ -35,6 +35,7 @@ SHARD_POSTINGS = 2_000_000
 TERMS_AT_ONCE = 100_000
 #: queries that meet a shard together
 QUERIES = 256
+SHARDS_A_TASK = 4
 #: documents of the first window, and of the largest
 FIRST_WINDOW, WINDOW = 256, 4096
 
@@ -386,7 +387,9 @@ def search(
         parts, "part").select("part", *columns, "queries")
     wanted = index.table.filter("term IS NOT NULL").join(weighted.select("part", "term").distinct(), "term").select(
         "part", *columns, F.lit(None).cast(parts.schema["queries"].dataType).alias("queries"))
-    heaps = shards.unionByName(wanted).groupBy("shard", "part").applyInArrow(
+    # lists are small when compressed, so tasks follow the number of shards instead of bytes
+    tasks = max(shuffle_partitions(spark), index.table.filter("term IS NULL").count() * sets // SHARDS_A_TASK)
+    heaps = shards.unionByName(wanted).repartition(tasks, "shard", "part").groupBy("shard", "part").applyInArrow(
         _search(k), "qid bigint, doc_id bigint, score bigint")
     order = Window.partitionBy("qid").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
     ranked = heaps.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
