@@ -37,3 +37,15 @@ def chrono_split(t):
     SELECT doc_id, CAST(ntile(5) OVER (ORDER BY doc_id) - 1 AS INTEGER) AS fold FROM labels""")
 def kfold_assign(t):
     return ordering.contiguous_folds(t.labels, ["doc_id"], 5).select("doc_id", F.col("fold"))
+
+
+@query("chrono_split_text", f"""
+    WITH o AS (
+        SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_orderstatus, o_orderkey) - 1 AS place FROM orders)
+    SELECT o_orderkey,
+        CASE WHEN place < floor((SELECT count(*) FROM orders) * 0.7::DOUBLE) THEN 'train'
+             WHEN place < floor((SELECT count(*) FROM orders) * (0.7::DOUBLE + 0.2::DOUBLE)) THEN 'val' ELSE 'test' END AS split
+    FROM o""")
+def chrono_split_text(t):
+    order = ["o_orderpriority", "o_orderstatus", "o_orderkey"]
+    return ordering.chronological_split(t.orders.select(*order), order).select("o_orderkey", "split")

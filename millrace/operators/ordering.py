@@ -24,8 +24,8 @@ def chronological_split(
 
     The second cut is ``floor(n * (train + val))`` in double arithmetic, which for
     0.7 and 0.2 falls one row short of nine tenths at some sizes.  ``order_by`` is a total
-    order of numbers, dates or times: the keys at the two cuts are found by counting,
-    and every row is compared with them; none is sorted or shuffled.
+    order of columns of any type that can be ordered: the keys at the two cuts are found by
+    counting, and every row is compared with them; none is sorted or shuffled.
     """
     n = df.count()
     first, second = keys_at(df, order_by, [floor(n * train), floor(n * (train + val))])

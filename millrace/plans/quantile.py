@@ -1,9 +1,11 @@
 """Exact quantiles with linear interpolation, also for columns of many distinct values.
 
-``percentile`` keeps every distinct value of a column in one buffer, so it is not used:
-at every size approximate percentiles bracket each wanted rank, the brackets are
-narrowed by further scans until few distinct values can lie inside, and only those are
-counted and ranked.  No raw row is shuffled.
+``percentile`` keeps every distinct value of a column in one buffer, so it is not used.  One
+scan counts the values of all columns and brackets each wanted rank by approximate percentiles;
+a second one counts what lies below and on the ends of the brackets and gathers the values strictly
+inside.  These are a small share of the rows, whatever the values: a value that many rows share is
+an end of its bracket, not inside.  Where even that share is more than a buffer may hold, the
+brackets are narrowed by further scans before.  No raw row is shuffled.
 """
 
 from __future__ import annotations
@@ -12,11 +14,14 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from math import ceil, floor
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .names import col
 
 
+GRID = 100
+
+
 @dataclass
 class _Bracket:
     column: str
@@ -26,21 +31,13 @@ class _Bracket:
     fraction: float
     low: float
     high: float
-    below: int = 0
-    rows_between: int | None = None
+    share: float  # of the column's values, at most so many are expected strictly inside
     slack: float = 2.0
 
-
-def _approx(df: DataFrame, wanted: list[tuple[Column, list[float]]], accuracy: int) -> list[list[float]]:
-    row = df.agg(*[
-        F.percentile_approx(value, [min(1.0, max(0.0, p)) for p in probs], accuracy).alias(f"a{i}")
-        for i, (value, probs) in enumerate(wanted)
-    ]).first()
-    return [row[i] for i in range(len(wanted))]
-
-
-def _inside(b: _Bracket) -> Column:
-    return col(b.column).between(F.lit(b.low), F.lit(b.high))
+    def inside(self) -> Column:
+        """Open at ends that are not known yet."""
+        value = col(self.column)
+        return (value > F.lit(self.low)) & (value < F.lit(self.high))
 
 
 def quantiles(
@@ -53,104 +50,98 @@ def quantiles(
     """One row; every column holds the ``array<double>`` of its quantiles.
 
     Nulls are skipped; a column without values yields null.  Runs small jobs while
-    it is called: their results are a few numbers per column.
+    it is called: two scans, more only where ``buffer_limit`` values cannot hold what the brackets
+    of all columns leave inside.  The results are a few numbers per column.
     """
     columns, probs = list(dict.fromkeys(columns)), list(probs)
     data = df.select(*[col(c).cast("double").alias(c) for c in columns])
-    counted = data.agg(*[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    sizes = dict(zip(columns, counted))
-    brackets = _first_brackets(data, sizes, probs, accuracy)
+    sizes, brackets = _first_brackets(data, columns, probs, accuracy)
+    found: dict = {}
     pending = brackets
     while pending:
-        pending = _narrow(data, pending, buffer_limit, accuracy)
-    return _ranked(data, columns, probs, brackets)
+        while sum(b.share * sizes[b.column] for b in pending) > buffer_limit and any(_narrow(data, pending, sizes, accuracy)):
+            pass
+        pending = _gathered(data, pending, sizes, accuracy, found)
+
+    def interpolated(c: str) -> Column:
+        own = [(b.fraction, *found[c, b.prob]) for b in brackets if b.column == c]
+        return F.array(*[F.lit(low if low == high else low + (high - low) * f) for f, low, high in own]) if own else F.lit(None)
+
+    # constants: nothing is left to run
+    return df.sparkSession.sql("SELECT 1").select(*[interpolated(c).cast("array<double>").alias(c) for c in columns])
 
 
-def _first_brackets(data, sizes, probs, accuracy) -> list[_Bracket]:
-    filled = [c for c, n in sizes.items() if n]
+def _first_brackets(data, columns, probs, accuracy) -> tuple[dict[str, int], list[_Bracket]]:
     margin = 2.0 / accuracy
-    # the p-th percentile of n values is the one with rank ceil(p * n), counted from 1
-    ends = _approx(data, [
-        (col(c), [p + s for p in probs for s in (-margin - 1 / sizes[c], margin + 2 / sizes[c])]) for c in filled
-    ], accuracy)
-    brackets = []
-    for c, values in zip(filled, ends):
-        for i, p in enumerate(probs):
-            at = (sizes[c] - 1) * p
-            brackets.append(_Bracket(c, i, floor(at), ceil(at), at - floor(at), values[2 * i], values[2 * i + 1]))
-    return brackets
-
-
-def _narrow(data, brackets, buffer_limit, accuracy) -> list[_Bracket]:
-    """Count around each bracket; tighten those that may still hold too many values."""
+    wanted = [min(1.0, max(0.0, p + s)) for p in probs for s in (-margin, margin)]
     row = data.agg(*[
-        part.alias(f"{what}{i}")
-        for i, b in enumerate(brackets)
-        for what, part in (
-            ("below", F.count_if(col(b.column) < b.low)),
-            ("inside", F.count_if(_inside(b))),
-            ("strict", F.count_if((col(b.column) > b.low) & (col(b.column) < b.high))),
-        )
-    ]).first()
-    wide = []
+        part for i, c in enumerate(columns)
+        for part in (F.count(col(c)).alias(f"n{i}"), F.percentile_approx(col(c), wanted, accuracy).alias(f"a{i}"))]).first()
+    sizes, brackets = {}, []
+    for i, c in enumerate(columns):
+        sizes[c] = n = row[f"n{i}"]
+        for j, p in enumerate(probs if n else []):
+            at = (n - 1) * p
+            low, high = row[f"a{i}"][2 * j:2 * j + 2]
+            brackets.append(_Bracket(c, j, floor(at), ceil(at), at - floor(at), low, high, 3 * margin))
+    return sizes, brackets
+
+
+def _narrow(data, brackets, sizes, accuracy) -> list[bool]:
+    """One scan that cuts every bracket at percentiles of what is inside; tells which ones became tighter."""
+    grid = [i / GRID for i in range(GRID + 1)]
+    counted = data.agg(*[
+        part for i, b in enumerate(brackets)
+        for part in (
+            F.count_if(col(b.column) <= F.lit(b.low)).alias(f"upto{i}"), F.count_if(b.inside()).alias(f"inside{i}"),
+            F.percentile_approx(F.when(b.inside(), col(b.column)), grid, accuracy).alias(f"ends{i}"))]).first()
+    tighter = []
     for i, b in enumerate(brackets):
-        below, inside, strict = (row[f"{w}{i}"] for w in ("below", "inside", "strict"))
-        if not (below <= b.low_rank and b.high_rank < below + inside):
-            # the estimate was off: start again from the whole column
-            b.slack *= 2
-            b.low, b.high, b.rows_between = float("-inf"), float("inf"), None
-            wide.append((b, 0, None))
-            continue
-        shrinking = b.rows_between is None or strict < b.rows_between
-        b.below, b.rows_between = below, strict
-        # a bracket that no longer shrinks is ranked as it is: slower, never wrong
-        if strict + 2 > buffer_limit and shrinking:
-            wide.append((b, below, inside))
-    if not wide:
-        return []
-    wanted = []
-    for b, below, inside in wide:
-        size = inside if inside is not None else data.filter(col(b.column).isNotNull()).count()
-        margin = b.slack / accuracy
-        wanted.append((F.when(_inside(b), col(b.column)),
-                       [(b.low_rank - below) / size - margin, (b.high_rank - below + 1) / size + margin]))
-    for (b, _, _), (low, high) in zip(wide, _approx(data, wanted, accuracy)):
-        b.low, b.high = low, high
-    return [b for b, _, _ in wide]
-
-
-def _ranked(data, columns, probs, brackets) -> DataFrame:
-    """Rank the distinct values left inside the brackets: at most the buffer limit each."""
-    candidates = F.array_compact(F.array(*[
-        F.when(_inside(b), F.struct(F.lit(i).alias("bracket"), col(b.column).alias("v")))
-        for i, b in enumerate(brackets)
-    ]))
-    upto = Window.partitionBy("bracket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    values = (
-        data.select(F.explode(candidates).alias("c")).groupBy("c.bracket", "c.v").agg(F.count("*").alias("n"))
-        .withColumn("upto", F.sum("n").over(upto))
-    )
-
-    def value_at(i: int, rank: int) -> Column:
-        # the rank counted inside the bracket
-        hit = (F.col("bracket") == i) & (F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto"))
-        return F.max(F.when(hit, F.col("v")))
-
-    found = values.agg(*[
-        value_at(i, rank - b.below).alias(f"{end}{i}")
-        for i, b in enumerate(brackets)
-        for end, rank in (("l", b.low_rank), ("h", b.high_rank))
+        upto, inside, ends = (counted[f"{x}{i}"] for x in ("upto", "inside", "ends"))
+        before, b.share = (b.low, b.high), inside / sizes[b.column]
+        if b.high_rank < upto:  # if a bracket lies elsewhere, that is found out when it is gathered
+            b.high, b.share = b.low, 0.0
+        elif b.low_rank >= upto + inside:
+            b.low, b.share = b.high, 0.0
+        else:
+            room = b.slack / accuracy + 1 / GRID
+            first = floor(((b.low_rank - upto) / inside - room) * GRID)
+            last = ceil(((b.high_rank + 1 - upto) / inside + room) * GRID)
+            b.low = ends[first] if first >= 0 else b.low
+            b.high = ends[last] if last <= GRID else b.high
+            b.share *= min(1.0, (last - first + 1) / GRID)
+        tighter.append((b.low, b.high) != before)
+    return tighter
+
+
+def _gathered(data, brackets, sizes, accuracy, found) -> list[_Bracket]:
+    """The values at the wanted ranks; brackets that missed theirs are opened and returned."""
+    counted = data.agg(*[
+        part for i, b in enumerate(brackets)
+        for part in (
+            F.count_if(col(b.column) < F.lit(b.low)).alias(f"below{i}"), F.count_if(col(b.column) == F.lit(b.low)).alias(f"low{i}"),
+            F.count_if(col(b.column) == F.lit(b.high)).alias(f"high{i}"),
+            F.sort_array(F.collect_list(F.when(b.inside(), col(b.column)))).alias(f"values{i}"))
     ])
-    place = {(b.column, b.prob): (i, b.fraction) for i, b in enumerate(brackets)}
 
-    def interpolated(c: str) -> Column:
-        if (c, 0) not in place:
-            return F.lit(None).cast("array<double>")
-        parts = []
-        for p in range(len(probs)):
-            i, fraction = place[c, p]
-            low, high = F.col(f"l{i}"), F.col(f"h{i}")
-            parts.append(low + (high - low) * F.lit(fraction))
-        return F.array(*parts)
-
-    return found.select(*[interpolated(c).alias(c) for c in columns])
+    def value_at(i: int, b: _Bracket, rank: int) -> Column:
+        at = F.lit(rank) - F.col(f"below{i}")
+        inner = at - F.col(f"low{i}")
+        size = F.size(f"values{i}")
+        return (F.when((at >= 0) & (inner < 0), F.lit(b.low))
+                .when((inner >= 0) & (inner < size), F.get(f"values{i}", inner.cast("int")))
+                .when((inner >= size) & F.lit(b.low != b.high) & (inner - size < F.col(f"high{i}")), F.lit(b.high)))
+
+    row = counted.select(*[
+        value_at(i, b, rank).alias(f"{end}{i}")
+        for i, b in enumerate(brackets) for end, rank in (("l", b.low_rank), ("h", b.high_rank))]).first()
+    missed = []
+    for i, b in enumerate(brackets):
+        low, high = row[f"l{i}"], row[f"h{i}"]
+        if low is None or high is None:
+            # the estimate was off: start again from the whole column, NaN being the largest value
+            b.low, b.high, b.share, b.slack = float("-inf"), float("nan"), 1.0, b.slack * 2
+            missed.append(b)
+        else:
+            found[b.column, b.prob] = (low, high)
+    return missed

@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+from decimal import Decimal
 
 import pytest
 from conftest import rows_of
@@ -66,6 +67,35 @@ def test_keys_at_positions(spark, monkeypatch):
     assert df.filter(cut).count() == 33
 
 
+@pytest.mark.parametrize("kind,values", [
+    ("double", [float("-inf"), float("inf"), float("nan"), None, 0.0, -1.5, 1e308, 5e-324] + [i / 7 for i in range(60)]),
+    ("string", [None, "", "a", "B", "é", "\U0001f600", "\uffff", "zz"] + [f"k{i * 37 % 101}" for i in range(60)]),
+    ("decimal(38,2)", [None] + [Decimal(2**53 + i) + Decimal("0.01") for i in range(40)] + [Decimal(-10) ** 30]),
+    ("date", [None] + [dt.date(1, 1, 1), dt.date(9999, 12, 31)] + [dt.date(2020, 1, 1) + dt.timedelta(i) for i in range(40)]),
+    ("binary", [None, b"", b"\x00", b"\xff\xff"] + [bytes([i, 255 - i]) for i in range(40)]),
+    ("boolean", [None, True, False] * 15),
+])
+def test_keys_of_any_type(spark, monkeypatch, kind, values):
+    """Cuts end and are right for infinities, NaN, text, long decimals and keys that many rows share."""
+    from millrace.plans import ranking
+
+    monkeypatch.setattr(ranking, "RANKED_ROWS", 5)
+    monkeypatch.setattr(ranking, "SAMPLED_ROWS", 5 if kind == "double" else 40)
+    rows = [(v, i) for i, v in enumerate(values + values[:4] * 20)]
+    df = spark.createDataFrame(rows, f"`the key` {kind}, id int").repartition(3)
+    order = ["the key", "id"]
+    ordered = [tuple(r) for r in df.orderBy(*[F.col(f"`{c}`") for c in order]).collect()]
+    wanted = [7, len(rows) // 2, len(rows) - 1, len(rows)]
+    found = ranking.keys_at(df, order, wanted)
+    assert [repr(k) for k in found] == [repr(ordered[p]) if p < len(rows) else "None" for p in wanted]
+    split = ordering.chronological_split(df, order)
+    counts = {r.split: r["count"] for r in split.groupBy("split").count().collect()}
+    n = len(rows)
+    assert counts == {"train": math.floor(n * 0.7), "val": math.floor(n * 0.9) - math.floor(n * 0.7), "test": n - math.floor(n * 0.9)}
+    # one key of all rows: the cut is that key
+    assert ranking.keys_at(df.select(F.lit(None).cast(kind).alias("x")), ["x"], [60]) == [(None,)]
+
+
 def test_cuts_shuffle_no_rows(spark):
     split = ordering.chronological_split(spark.range(50), ["id"])
     assert "Exchange" not in split._jdf.queryExecution().executedPlan().toString()

@@ -25,6 +25,28 @@ def test_quantiles_equal_interpolated_ones(spark, limit, accuracy, kind):
     assert np.allclose(row[1], np.quantile(np.arange(1000), probs), rtol=1e-12)
 
 
+@pytest.mark.parametrize("limit,accuracy", [(1_000_000, 10_000), (5, 10)])
+def test_quantiles_with_infinities(spark, limit, accuracy):
+    values = [float("-inf")] * 3 + [float(i) for i in range(200)] + [float("inf")] * 40 + [float("nan")] * 10
+    df = spark.createDataFrame([(v,) for v in values], "x double").repartition(3)
+    row = quantiles(df, ["x"], [0.0, 0.005, 0.5, 0.9, 1.0], limit, accuracy).first()[0]
+    assert row[:4] == [float("-inf"), float("-inf"), 123.0, float("inf")] and row[4] != row[4]
+
+
+def test_quantiles_read_a_table_twice(spark, tmp_path):
+    """Counts and brackets, then ranks: two scans for all columns, and constants after that."""
+    path = str(tmp_path / "t")
+    spark.range(50_000).selectExpr("id AS a", "id % 97 AS b", "hash(id) AS c").write.parquet(path)
+    df, store = spark.read.parquet(path), spark.sparkContext._jsc.sc().statusStore()
+    seen = store.jobsList(None).size()
+    row = quantiles(df, ["a", "b", "c"], [0.25, 0.5, 0.75])
+    jobs = [store.jobsList(None).apply(i) for i in range(store.jobsList(None).size() - seen)]
+    stages = {j.stageIds().apply(k) for j in jobs for k in range(j.stageIds().size())}
+    read = sum(s.inputRecords() for s in (store.lastStageAttempt(i) for i in stages))
+    assert read == 2 * 50_000
+    assert row.first()["a"] == [12499.75, 24999.5, 37499.25] and "Scan parquet" not in row._jdf.queryExecution().toString()
+
+
 def test_quantiles_without_values(table):
     df = table([(None, 1.0), (None, 2.0), (None, 4.0)], "x double, y double")
     for limit in (100, 1):
