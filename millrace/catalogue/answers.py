@@ -80,6 +80,27 @@ def cv_shares(t):
     return scores.withColumn("recall", clean_zero(F.col("recall")))
 
 
+@query("cv_choice", f"""
+    WITH e AS (SELECT *, {_Y} AS y, ntile(5) OVER (ORDER BY event_id) - 1 AS fold FROM events),
+    f AS (SELECT DISTINCT fold FROM e),
+    s AS (SELECT f.fold, event_type, avg(y) AS p1 FROM e JOIN f ON e.fold <> f.fold GROUP BY f.fold, event_type),
+    o AS (SELECT f.fold, avg(y) AS overall FROM e JOIN f ON e.fold <> f.fold GROUP BY f.fold),
+    r AS (
+        SELECT C, e.fold,
+               count(*) FILTER (WHERE y = 1 AND CASE WHEN C < 1 THEN overall ELSE p1 END > 0.5) / count(*) FILTER (WHERE y = 1) AS recall
+        FROM e JOIN s USING (fold, event_type) JOIN o USING (fold),
+             (SELECT unnest([0.000000001::DOUBLE, 10000.0::DOUBLE, 1000000.0::DOUBLE]) AS C)
+        GROUP BY C, e.fold),
+    m AS (SELECT C, avg(recall) AS mean_recall FROM r GROUP BY C)
+    SELECT C, round(mean_recall, 6) + 0.0 AS mean_recall,
+           C = (SELECT min(C) FROM m WHERE mean_recall > (SELECT max(mean_recall) FROM m) - 1e-9) AS selected FROM m""")
+def cv_choice(t):
+    """Mean recall per strength and the choice: a penalty that leaves no coefficient, and two that leave all."""
+    folds = ordering.contiguous_folds(_typed(t).drop("event_type"), ["event_id"], 5)
+    table = classify.strength_table(classify.fold_scores(folds, _ONE_HOT, "y", strengths=(1e-9, 1e4, 1e6), **_WEAK))
+    return table.withColumn("mean_recall", clean_zero(F.col("mean_recall")))
+
+
 @query("forecast_one_lag", """
     WITH idx AS (SELECT value, row_number() OVER (ORDER BY ts, event_id) - 1 AS i FROM events),
     w AS (SELECT i, value AS x, lead(value) OVER (ORDER BY i) AS y FROM idx)

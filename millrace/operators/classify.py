@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from multiprocessing.pool import ThreadPool
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -13,7 +14,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..plans.names import col
 from ..plans.scratch import written
-from .metrics import THRESHOLDS, binary_metrics, confusion_counts, ratio, threshold_sweep
+from ..session import ship_package
+from .batched import Problem, fit_many, hits
+from .metrics import THRESHOLDS, binary_metrics, classification_report, confusion_counts, threshold_sweep
 from .ordering import contiguous_folds
 
 # Fixed values.
@@ -69,55 +72,39 @@ def model_params(model: PipelineModel) -> dict:
 
 def fold_scores(
     df: DataFrame, features: Sequence[str], label: str, fold: str = "fold", strengths: Sequence[float] = STRENGTHS,
-    balance: Callable[[DataFrame], DataFrame] | None = None, parallelism: int = 5,
-    tol: float = TOLERANCE, max_iter: int = MAX_ITER,
+    balance: Callable[[DataFrame], DataFrame] | None = None, tol: float = TOLERANCE, max_iter: int = MAX_ITER,
 ) -> DataFrame:
     """Recall of every strength on every fold: ``C, fold, recall``.
 
-    Folds and strengths are fitted side by side as Spark jobs; all strengths of a fold
-    are scored in one pass.  ``balance`` is applied to the training folds only, so that no drawn or
-    made-up row reaches the fold it is judged on.
+    All folds and strengths are fitted together (``batched``), a scan of the rows per Newton step of all of
+    them, and scored in one more.  ``balance`` is applied to the training folds only, so that no drawn
+    or made-up row reaches the fold it is judged on.
     """
-    spark = df.sparkSession
-    ready = written(
-        assemble(df, features).select("features", col(label).cast("double").alias(label), fold), "cv-rows"
-    ).persist()
-    sizes = {r[fold]: r["n"] for r in ready.groupBy(fold).agg(F.count("*").alias("n")).collect()}  # k numbers
-    folds = sorted(sizes)
-
-    def run(number: int) -> list[tuple]:
+    spark = ship_package(df.sparkSession)
+
+    def ready(rows: DataFrame, part) -> DataFrame:
+        return rows.select(
+            F.array(*[col(c).cast("double") for c in features]).alias("features"), col(label).cast("double").alias("y"),
+            part.cast("int").alias("part"))
+
+    rows = written(ready(df, col(fold)), "cv-rows").persist()
+    try:
+        folds = sorted(r["part"] for r in rows.select("part").distinct().collect())  # k numbers
+        problems = [Problem(float(C), f) for f in folds for C in strengths]
         if balance is None:
-            train, n = ready.filter(col(fold) != number), sum(sizes.values()) - sizes[number]
+            weights = fit_many(rows, len(features), problems, tol=tol * tol, max_iter=max_iter)
         else:
-            balanced = balance(df.filter(col(fold) != number))
-            train = assemble(balanced, features).select("features", col(label).cast("double").alias(label))
-            n = train.count()
-        scored = ready.filter(col(fold) == number)
-        try:
-            # plain folds are filters of the one cached table; drawn or made-up rows are cached per fold
-            train = train.select("features", label)
-            train = train if balance is None else train.persist()
-            with ThreadPool(len(strengths)) as fits:
-                models = fits.map(lambda C: _estimator(label, C, n, tol, max_iter).fit(train), strengths)
-        finally:
-            if balance is not None:
+            drawn = [ready(balance(df.filter(col(fold) != f)), F.lit(f)) for f in folds]
+            train = written(reduce(DataFrame.unionAll, drawn), "cv-balanced").persist()
+            try:
+                weights = fit_many(train, len(features), problems, own=True, tol=tol * tol, max_iter=max_iter)
+            finally:
                 train.unpersist()
-        for i, model in enumerate(models):
-            model.setPredictionCol(f"p{i}").setProbabilityCol("").setRawPredictionCol("")
-            scored = model.transform(scored)
-        recalls = []
-        for i, _ in enumerate(strengths):
-            counts = confusion_counts(label, f"p{i}")
-            recalls.append(ratio(counts["tp"], counts["tp"] + counts["fn"]).alias(f"r{i}"))
-        row = scored.agg(*recalls).first()
-        return [(float(C), int(number), float(row[i])) for i, C in enumerate(strengths)]
-
-    try:
-        with ThreadPool(max(1, min(parallelism, len(folds)))) as pool:
-            parts = pool.map(run, folds)
+        found = hits(rows, weights, problems)
     finally:
-        ready.unpersist()
-    return spark.createDataFrame([r for part in parts for r in part], "C double, fold int, recall double")
+        rows.unpersist()
+    scores = [(p.C, p.part, float(tp / (tp + fn)) if tp + fn else 0.0) for p, (tp, fn) in zip(problems, found)]
+    return spark.createDataFrame(scores, "C double, fold int, recall double")
 
 
 def strength_table(scores: DataFrame) -> DataFrame:
@@ -155,35 +142,62 @@ def long_metrics(scored: DataFrame, strategy: str, y_true: str, y_pred: str = "y
     return both.select(F.lit(strategy).alias("strategy"), "metric", "value")
 
 
-def compare_strategies(
+@dataclass(frozen=True)
+class Strategies:
+    """Strategies judged side by side.
+
+    ``metrics``: ``strategy, metric, value``; ``scores``: ``strategy, C, fold, recall`` of the search; ``choices``:
+    ``strategy, C, mean_recall, selected``; ``reports``: the report per class of every strategy.
+    """
+
+    metrics: DataFrame
+    scores: DataFrame
+    choices: DataFrame
+    reports: DataFrame
+
+
+def judge_strategies(
     train: DataFrame, test: DataFrame, features: Sequence[str], label: str, order_by: Sequence[str],
-    undersampled: DataFrame, oversampled: DataFrame, threshold: float = CHOSEN_THRESHOLD,
+    undersampled: DataFrame, oversampled: DataFrame, threshold: float = CHOSEN_THRESHOLD, k: int = 5,
     tol: float = TOLERANCE, max_iter: int = MAX_ITER, **options
-) -> DataFrame:
+) -> Strategies:
     """Judge undersampling, plain training, a raised threshold and oversampling on one test table.
 
     ``undersampled`` has a ``split`` column; its test part is judged as well.
     """
+    searched: dict[str, DataFrame] = {}
 
-    def tuned(rows: DataFrame) -> PipelineModel:
-        C = select_strength(rows, features, label, order_by, tol=tol, max_iter=max_iter, **options)
+    def tuned(strategy: str, rows: DataFrame) -> PipelineModel:
+        scores = fold_scores(contiguous_folds(rows, order_by, k), features, label, tol=tol, max_iter=max_iter, **options)
+        searched[strategy] = scores
+        C = strength_table(scores).filter("selected").first()["C"]
         return fit_logistic(rows, features, label, C, tol, max_iter)
 
-    under = tuned(undersampled.filter("split = 'train'"))
-    plain = tuned(train)
-    over = tuned(oversampled)
+    under = tuned("undersample", undersampled.filter("split = 'train'"))
+    plain = tuned("no_balancing", train)
+    over = tuned("smote", oversampled)
 
     on_test = predict(under, test)
-    raised = on_test.withColumn("y_pred", (F.col("p1") > threshold).cast("int"))
-    parts = [
-        long_metrics(predict(under, undersampled.filter("split = 'test'")), "undersample_balanced_test", label),
-        long_metrics(on_test, "undersample", label),
-        long_metrics(predict(plain, test), "no_balancing", label),
-        long_metrics(raised, "undersample_threshold", label),
-        long_metrics(predict(over, test), "smote", label),
-    ]
-    table = parts[0]
-    for part in parts[1:]:
-        table = table.unionAll(part)
-    return table
-
+    judged = {
+        "undersample_balanced_test": predict(under, undersampled.filter("split = 'test'")),
+        "undersample": on_test,
+        "no_balancing": predict(plain, test),
+        "undersample_threshold": on_test.withColumn("y_pred", (F.col("p1") > threshold).cast("int")),
+        "smote": predict(over, test),
+    }
+
+    def together(parts: dict[str, DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionAll, [
+            rows.select(F.lit(name).alias("strategy"), *[col(c) for c in rows.columns if c != "strategy"])
+            for name, rows in parts.items()])
+
+    return Strategies(
+        together({name: long_metrics(rows, name, label) for name, rows in judged.items()}),
+        together(searched),
+        together({name: strength_table(scores) for name, scores in searched.items()}),
+        together({name: classification_report(rows, label, "y_pred") for name, rows in judged.items()}))
+
+
+def compare_strategies(*args, **options) -> DataFrame:
+    """The ``metrics`` of ``judge_strategies``."""
+    return judge_strategies(*args, **options).metrics

@@ -76,6 +76,64 @@ def test_strength_is_chosen_by_mean_recall(separable, table):
     assert classify.select_strength(separable, ["x", "noise"], "y", ["id"], k=2, **options) == 10.0
 
 
+def overlapping(spark, n=900):
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(n):
+        y = int(rng.random() < 0.3)
+        x = rng.normal(size=4) + y * np.array([1.0, -0.5, 0.0, 0.0])
+        rows.append((i, *[float(v) for v in x * np.array([1.0, 30.0, 0.1, 1.0]) + np.array([0, 5, 0, 0])], y, i % 3))
+    return spark.createDataFrame(rows, "id bigint, a double, b double, c double, d double, y int, fold int").repartition(4)
+
+
+def test_batched_fits_equal_single_ones(spark):
+    """Every fold and strength at once gives the coefficients, and the recalls, of one fit each."""
+    from pyspark.sql import functions as F
+
+    from millrace.operators.batched import Problem, fit_many
+
+    names, df = ["a", "b", "c", "d"], overlapping(spark).cache()
+    rows = df.select(F.array(*names).alias("features"), F.col("y").cast("double").alias("y"), F.col("fold").alias("part"))
+    problems = [Problem(C, f) for C in (0.01, 0.3, 10.0) for f in (0, 2, None)]
+    weights = fit_many(rows, 4, problems, tol=1e-13)
+    recalls = {(r.C, r.fold): r.recall for r in classify.fold_scores(df, names, "y", strengths=(0.01, 0.3, 10.0)).collect()}
+    for p, found in zip(problems, weights):
+        train = df if p.part is None else df.filter(f"fold <> {p.part}")
+        model = classify.fit_logistic(train, names, "y", C=p.C, tol=1e-12, max_iter=1000)
+        params = classify.model_params(model)
+        single = np.array([*params["coefficients"], params["intercept"]])
+        assert np.allclose(found, single, atol=2e-4 * max(1, np.abs(single).max())), (p, found, single)
+        if p.part is not None:
+            scored = classify.predict(model, df.filter(f"fold = {p.part}"))
+            assert abs(recalls[p.C, p.part] - metrics.binary_metrics(scored, "y", "y_pred").first().recall) < 0.02
+    assert (np.abs(weights[0][:4]) < 1e-12).any() and (np.abs(weights[-1][:4]) > 0).all()
+
+
+def test_scans_do_not_grow_with_folds_and_strengths(spark, monkeypatch):
+    from millrace.operators import batched
+
+    df, scans = overlapping(spark).cache(), []
+    plain = batched._summed
+    monkeypatch.setattr(batched, "_summed", lambda rows, run, shape: scans.append(shape[0]) or plain(rows, run, shape))
+    for strengths in ((1.0,), (0.1, 0.3, 1.0, 3.0, 10.0)):
+        classify.fold_scores(df, ["a", "b", "c", "d"], "y", strengths=strengths).collect()
+    # a scan per Newton step of all regressions, and one for the scores
+    assert max(scans) == 15 and len(scans) <= 30
+    with pytest.raises(ValueError):
+        classify.fold_scores(df.withColumn("a", df.a * float("nan")), ["a"], "y").collect()
+
+
+def test_choices_and_reports_of_strategies(separable):
+    undersampled = sampling.undersample_and_split(separable, "y", ["id"])
+    judged = classify.judge_strategies(
+        separable, separable, ["x", "noise"], "y", ["id"], undersampled, separable, k=2, strengths=(0.01, 10.0), max_iter=30)
+    chosen = {r.strategy: r.C for r in judged.choices.filter("selected").collect()}
+    assert set(chosen) == {"undersample", "no_balancing", "smote"} and chosen["no_balancing"] == 10.0
+    assert judged.scores.count() == 12
+    support = {(r["strategy"], r["class"]): r["support"] for r in judged.reports.collect()}
+    assert support["smote", "1"] == 20 and support["undersample_threshold", "0"] == 20
+
+
 def test_strategies_side_by_side(spark, separable):
     undersampled = sampling.undersample_and_split(separable, "y", ["id"])
     table = classify.compare_strategies(
