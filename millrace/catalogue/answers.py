@@ -121,14 +121,13 @@ def forecast_one_lag(t):
     SELECT 'same' AS predictions, count(*) AS n FROM (
         SELECT row_number() OVER (ORDER BY ts, event_id) AS i FROM events) WHERE i <= (SELECT count(*) FROM events) - 29""")
 def forecast_saved_best(t):
-    """The best candidate on the validation split is saved, loaded, and forecasts the same."""
+    """The best of the fitted candidates on the validation split is saved, loaded, and forecasts the same."""
     windows = event_windows(t)
     cut = F.when(F.col("start_idx") % 10 < 7, "train").when(F.col("start_idx") % 10 < 9, "val").otherwise("test")
     windows = written(windows.withColumn("split", cut), "forecast-windows")
     fitted = {m: forecast.fit_direct(windows, ["value"], ["value"], label_width=1, method=m) for m in ("linear", "gbt")}
     windows = written(windows.withColumn("labels", F.slice("labels", 1, 1)), "forecast-windows")
     scored = {m: forecast.predict_direct(windows, models, ["value"], ["value"]) for m, models in fitted.items()}
-    scored["persistence"] = forecast.persistence(windows, ["value"], label_width=1)
     best, predicted = forecast.keep_best(scored, fitted, windows, ["value"], ["value"], new_path(t.spark, "best"))
     before = scored[best].select("start_idx", F.col("predictions").alias("a"))
     both = before.join(predicted.select("start_idx", F.col("predictions").alias("b")), "start_idx")

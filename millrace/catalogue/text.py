@@ -43,7 +43,7 @@ def _mixed_folder(t):
     done = orders.filter("status = 'F'").select("id", F.lit("完").alias("mark"), "amount")
     write_csv(done, f"{folder}/utf8")
     # one header line and the rows of one task per file; bytes go through the text writer as they are
-    rest = orders.filter("status <> 'F'").select(F.concat_ws(",", "amount", "id", F.lit("开"), "status").alias("line"))
+    rest = orders.filter("NOT (status <=> 'F')").select(F.concat_ws(",", "amount", "id", F.lit("开"), "status").alias("line"))
     keyed = rest.coalesce(1)
     header = t.spark.range(1).select(F.lit("amount,id,mark,status").alias("line"))
     both = header.unionAll(keyed).coalesce(1).select(_encoded("gbk")("line").cast("string").alias("line"))

@@ -63,28 +63,34 @@ def valid_mask(data: bytes, encodings: Sequence[str]) -> int:
 def survey_files(
     spark: SparkSession, paths: str | Sequence[str], encodings: Sequence[str] = ENCODINGS
 ) -> DataFrame:
-    """Written table ``path, encoding, header``: one row per file that is not empty, from one scan.
+    """Written table ``path, encoding, header, header_at, header_pos``: one row per file that is not empty, from one scan.
 
-    ``encoding`` is the first in which all lines are valid, or null; ``header`` holds
-    the bytes of the first line.  A few numbers per block are merged, no line is shuffled.
+    ``encoding`` is the first in which all lines are valid, or null; ``header`` holds the bytes of the
+    first line that is not blank (null if all are), the others say where it is, as ``numbered_lines``
+    does.  A few numbers per block are merged, no line is shuffled.
     """
     names = list(encodings)
 
     def look(batches):
         for path, at, place, lines in _runs(batches):
             values = lines.to_pylist()
-            header = values[0] if at == 0 and place == 0 else None
+            first = next((i for i, v in enumerate(values) if v.strip()), None)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([path]), pa.array([valid_mask(b"\n".join(values), names)], pa.int32()),
-                 pa.array([header], pa.binary())], names=["path", "mask", "header"])
+                [pa.array([path]), pa.array([valid_mask(b"\n".join(values), names)], pa.int32()), pa.array([at], pa.int64()),
+                 pa.array([None if first is None else place + first], pa.int64()),
+                 pa.array([None if first is None else values[first]], pa.binary())],
+                names=["path", "mask", "at", "pos", "header"])
 
     ship_package(spark)
-    seen = raw_lines(spark, paths).mapInArrow(look, "path string, mask int, header binary")
-    files = seen.groupBy("path").agg(F.bit_and("mask").alias("mask"), F.max("header").alias("header"))
+    seen = raw_lines(spark, paths).mapInArrow(look, "path string, mask int, at bigint, pos bigint, header binary")
+    found_at = F.min(F.when(F.col("header").isNotNull(), F.struct("at", "pos", "header"))).alias("first")
+    files = seen.groupBy("path").agg(F.bit_and("mask").alias("mask"), found_at)
     found = F.lit(None).cast("string")
     for bit in reversed(range(len(names))):
         found = F.when(F.getbit("mask", F.lit(bit)) == 1, F.lit(names[bit])).otherwise(found)
-    return written(files.select("path", found.alias("encoding"), "header"), "files")
+    return written(files.select(
+        "path", found.alias("encoding"), "first.header", F.col("first.at").alias("header_at"), F.col("first.pos").alias("header_pos")),
+        "files")
 
 
 def detect_encodings(

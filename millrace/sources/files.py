@@ -72,19 +72,20 @@ def read_csv_files(
 
     One scan finds the encoding and the header of every file, a second one reads all files
     whatever their encodings and headers.  Columns that a file lacks are null, and the first
-    line of each file is its header, no other.  Empty files are skipped, and so are files in
+    line of each file that is not blank is its header, no other.  Empty and blank files are skipped, and so are files in
     no listed encoding (``unreadable_files`` lists them); it is an error if nothing is
     left.  ``schema`` types the columns it names, the others stay text; without it types
     are found on the texts that were read.  ``row_id`` numbers the rows by file and place.
     A quoted cell must not contain a line break.
     """
     files = survey_files(spark, pattern, encodings).filter("encoding IS NOT NULL")
-    files = written(files.select("path", "encoding", decoded(F.col("header"), F.col("encoding")).alias("header")), "headers")
+    files = written(files.select(
+        "path", "encoding", decoded(F.col("header"), F.col("encoding")).alias("header"), "header_at", "header_pos"), "headers")
     # one row per layout, not per file
     layouts = sorted(r["header"] for r in files.select("header").distinct().collect() if r["header"])
     if not layouts:
         raise ValueError(f"no readable file matches {pattern}")
-    lines = numbered_lines(spark, pattern).filter("at > 0 OR pos > 0").join(files, "path")
+    lines = numbered_lines(spark, pattern).join(files, "path").filter("at > header_at OR at = header_at AND pos > header_pos")
     lines = lines.withColumn("line", decoded(F.col("line"), F.col("encoding"))).filter(F.trim("line") != "")
     place = F.struct("path", "at", "pos")
     table = written(

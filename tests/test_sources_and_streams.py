@@ -74,6 +74,14 @@ def test_only_the_first_line_is_a_header(spark, tmp_path):
         assert rows_of(table, "row_id", "列", "a") == [(0, "值", "1"), (1, "列", "a"), (2, "值", "2")]
 
 
+def test_blank_lines_before_the_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b"\n  \r\n\nx,y\n1,2\n\n3,4\n")
+    (tmp_path / "b.csv").write_bytes("y,x,z\n5,6,开\n".encode("gbk"))
+    (tmp_path / "c.csv").write_bytes(b"\n\n \n")
+    found = files.read_csv_files(spark, str(tmp_path / "*.csv"), row_id=None)
+    assert rows_of(found, "x", "y", "z") == sorted([(1, 2, None), (3, 4, None), (6, 5, "开")], key=repr)
+
+
 def test_unreadable_files_are_skipped_and_listed(spark, tmp_path):
     (tmp_path / "bad.csv").write_bytes(b"a,b\n\xff\xff\xff,1\n")
     (tmp_path / "good.csv").write_text("a,b\n1,x\n")
