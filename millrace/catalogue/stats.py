@@ -101,3 +101,30 @@ def dist_summary(t):
         FROM lineitem, (SELECT min({c}) AS lo, max({c}) AS hi FROM lineitem) GROUP BY 1, 2""" for c in MEASURES))
 def column_histograms(t):
     return stats.column_histograms(t.lineitem, MEASURES)
+
+
+def _density_sql(c: str, points: int = 64) -> str:
+    return f"""
+    SELECT '{c}' AS "column", CAST(g AS INTEGER) AS point, round(start + g * step, 4) + 0.0 AS x,
+           round(sum(w * CASE WHEN abs((g - p) * step / h) <= 4 THEN exp(-0.5 * ((g - p) * step / h) * ((g - p) * step / h)) ELSE 0 END)
+                 / (n * h * sqrt(2 * pi())), 9) + 0.0 AS density
+    FROM (
+        SELECT p, sum(w) AS w FROM (
+            SELECT unnest([l, l + 1]) AS p, unnest([1 - (q - l), q - l]) AS w FROM (
+                SELECT q, least(floor(q), {points - 2}) AS l FROM (
+                    SELECT ({c} - start) / step AS q FROM lineitem, ({_density_grid(c, points)}) WHERE {c} IS NOT NULL)))
+        GROUP BY p), ({_density_grid(c, points)}), (SELECT unnest(range(0, {points})) AS g)
+    GROUP BY g, start, step, n, h"""
+
+
+def _density_grid(c: str, points: int) -> str:
+    return f"""
+        SELECT n, h, low - 4 * h AS start, (high - low + 8 * h) / {points - 1} AS step FROM (
+            SELECT count({c}) AS n, CAST(min({c}) AS DOUBLE) AS low, CAST(max({c}) AS DOUBLE) AS high,
+                   stddev_samp({c}) * pow(CAST(count({c}) AS DOUBLE), -0.2) AS h FROM lineitem)"""
+
+
+@query("density", " UNION ALL ".join(_density_sql(c) for c in MEASURES[:2]))
+def density(t):
+    found = stats.density(t.lineitem, MEASURES[:2], points=64)
+    return found.select("column", "point", clean_zero(F.col("x"), 4).alias("x"), clean_zero(F.col("density"), 9).alias("density"))

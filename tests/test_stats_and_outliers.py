@@ -173,3 +173,20 @@ def test_limits_reach_the_scan(spark, tmp_path):
     spark.range(100).select("id", F.col("id").cast("double").alias("x")).write.parquet(path)
     plan = outliers.remove_iqr(spark.read.parquet(path), "x")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(x," in plan and "LessThanOrEqual(x," in plan
+
+
+def test_density_follows_the_exact_kernel(spark):
+    """Close to the sum over all rows, one in area; constant, empty and infinite columns have no curve."""
+    rng = np.random.default_rng(7)
+    values = np.concatenate([rng.normal(size=700), rng.normal(6, 0.5, size=300)])
+    rows = [(float(v), 1.0, None, float("inf") if i else 0.0, 1.0 if i == 3 else None) for i, v in enumerate(values)] + [(None, 1.0, None, 2.0, None)]
+    df = spark.createDataFrame(rows, "`a.b` double, c double, d double, e double, one double").repartition(4)
+    found = stats.density(df, points=512).orderBy("point").collect()
+    assert {r["column"] for r in found} == {"a.b"} and [r["point"] for r in found] == list(range(512))
+    h = values.std(ddof=1) * 1000 ** -0.2
+    x = np.array([r["x"] for r in found])
+    exact = np.exp(-0.5 * ((x[:, None] - values[None, :]) / h) ** 2).sum(axis=1) / (1000 * h * np.sqrt(2 * np.pi))
+    got = np.array([r["density"] for r in found])
+    assert np.abs(got - exact).max() < 1e-3 * exact.max()
+    assert abs(got.sum() * (x[1] - x[0]) - 1) < 1e-3
+    assert stats.density(df.limit(0)).collect() == []
