@@ -1,17 +1,15 @@
 """Near-duplicates by an LSH forest of MinHash signatures.
 
 Documents with the same shingle set are one node.  Every tree of the forest sorts the nodes
-by its own ``DEPTH`` MinHash values; nodes that share a prefix of these are a region, and
-the nodes of a region are candidates of each other.  The prefix is ``LEAST_DEPTH`` values
-long where that leaves few nodes together and grows value by value, region by region, where
-it does not; regions that even the whole order does not divide are dealt into parts, other
-ones in every tree.  Parts of a crowded region also share some of its nodes, so they meet.
+by its own ``DEPTH`` MinHash values.  Candidates of a node are its neighbours in the sorted
+orders that share at least ``LEAST_DEPTH`` values with it: all of them where they are at most
+``REGION``, else the nearest ones of the order, which share the longest prefixes.  So
+the depth adapts to the region, and neighbours meet across the borders of deeper prefixes.
 
-Candidates pass an estimate from their whole signatures; what is left is compared on the full
-shingle sets.  Links are merged to components.  Later trees only compare what earlier
-ones have not already put into one component.
+Candidates pass an estimate from the low bytes of their signatures; what is left is
+compared on the full shingle sets.  Links are merged to components.
 
-Division loses links, so what crowded regions still hold in different components is joined
+Crowded regions lose links, so what they still hold in different components is joined
 exactly: sets at the threshold share one of their rarest shingles (prefix filter).  Lengths
 and parity bitmaps bound the difference of two such sets from below, the full sets decide.
 """
@@ -25,15 +23,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..plans.ranking import row_index
 from ..plans.scratch import managed
 from .common import col, prepared, slices, written
 from .components import components
-from .words import NO_SPACE, shingle_sets, words_of
+from .words import NO_SPACE, mix, shingle_sets, words_of
 
 TREES, DEPTH, LEAST_DEPTH = 16, 8, 4
-FIRST_TREES = 3
 REGION = 128
-ANCHORS = 4
 #: counters of shingles, for an order that begins with rare ones; and 64-bit words of a parity bitmap
 RARITY_BITS, BITMAP_WORDS = 20, 8
 HASHES = TREES * DEPTH
@@ -60,79 +57,62 @@ def minhash(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _heads(signatures: np.ndarray) -> np.ndarray:
+    """One hash per tree of the first ``LEAST_DEPTH`` values of its order; trees have different ones."""
+    values = signatures.reshape(-1, TREES, DEPTH)[:, :, :LEAST_DEPTH].astype(np.uint64)
+    out = np.broadcast_to(np.arange(1, TREES + 1, dtype=np.uint64), values.shape[:2]).copy()
+    for i in range(LEAST_DEPTH):
+        out = mix(out * _MULTIPLIERS[i] + values[:, :, i])
+    return out.view(np.int64)
+
+
 def _sketch(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets = shingle_sets(words_of(batch.column(1).to_pylist(), NO_SPACE), k)
-            full = [s for s in sets if len(s)]
-            signatures = iter(minhash(full).astype(">u4"))
-            rows = [(blake2b(s.tobytes(), digest_size=16).digest(), next(signatures).tobytes()) if len(s) else (None, None)
-                    for s in sets]
+            signatures = minhash([s for s in sets if len(s)])
+            heads = iter(_heads(signatures))
+            lows = iter(signatures.astype(np.uint8))
+            rows = [(blake2b(s.tobytes(), digest_size=16).digest(), next(heads), next(lows).tobytes()) if len(s)
+                    else (None, None, None) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())],
-                names=["doc_id", "n_shingles", "set_id", "signature"])
+                 pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.list_(pa.int64())),
+                 pa.array([r[2] for r in rows], pa.binary())],
+                names=["doc_id", "n_shingles", "set_id", "heads", "low"])
 
     return run
 
 
 def sketches(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """Written table ``doc_id, n_shingles, set_id, signature``: one row per document."""
+    """Written table ``doc_id, n_shingles, set_id, heads, low``: one row per document.
+
+    ``heads`` names the prefix of the node in every tree, ``low`` has the low byte of every MinHash value.
+    """
     rows = docs.select(col(id_col).cast("bigint").alias("doc_id"), col(text_col).cast("binary").alias("text"))
     return written(rows.mapInArrow(
-        _sketch(k), "doc_id bigint, n_shingles bigint, set_id binary, signature binary"), "sketches")
+        _sketch(k), "doc_id bigint, n_shingles bigint, set_id binary, heads array<bigint>, low binary"), "sketches")
 
 
 def forest_regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Candidate regions ``region bigint, tree int, node``, at most ``REGION + ANCHORS`` nodes each, and, where some
-    were divided, the members ``top bigint, node`` of all that were."""
+    """Candidate regions ``region bigint, node``, at most ``REGION`` nodes each, and, where some
+    were crowded, the members ``top bigint, node`` of all that were."""
+    deep = lambda t: F.substring(F.col("low"), t * DEPTH + LEAST_DEPTH + 1, F.lit(DEPTH - LEAST_DEPTH))
     trees = nodes.select("node", F.explode(F.transform(
-        F.sequence(F.lit(0), F.lit(TREES - 1)),
-        lambda t: F.struct(t.alias("tree"), F.substring(F.col("signature"), t * (4 * DEPTH) + 1, F.lit(4 * DEPTH)).alias("key")),
-    )).alias("t")).select("node", "t.tree", "t.key")
-
-    def prefix(depth: int):
-        return F.substring("key", 1, 4 * depth)
-
-    def sizes(rows: DataFrame, depth: int) -> DataFrame:
-        return rows.groupBy("tree", prefix(depth).alias("p")).agg(F.count("*").alias("n"))
-
-    shared = sizes(trees, LEAST_DEPTH).filter("n > 1")
-    near = written(
-        trees.withColumn("p", prefix(LEAST_DEPTH)).join(shared, ["tree", "p"])
-        .select("node", "tree", "key", "n"), "forest")
-    region = lambda *parts: F.xxhash64("tree", *parts)
-    small = near.filter(F.col("n") <= REGION).select(region(prefix(LEAST_DEPTH)).alias("region"), "tree", "node")
-    crowded = near.filter(F.col("n") > REGION).select("node", "tree", "key")
-    if not crowded.limit(1).count():
+        "heads", lambda h, t: F.struct(t.alias("tree"), h.alias("top"), deep(t).alias("deep")))).alias("t")).select("node", "t.*")
+    # written, so that the rows of a hot prefix are rows of a join that may be split
+    sizes = written(trees.groupBy("top").agg(F.count("*").alias("n")).filter("n > 1"), "region-sizes")
+    near = written(trees.join(sizes.hint("merge"), "top"), "forest")
+    small = near.filter(F.col("n") <= REGION).select(F.col("top").alias("region"), "node")
+    crowded = near.filter(F.col("n") > REGION).select("tree", "top", "deep", "node")
+    if crowded.isEmpty():
         return small, None
-
-    # deeper where it is crowded
-    left, cells = crowded, []
-    for depth in range(LEAST_DEPTH + 1, DEPTH + 1):
-        sized = left.withColumn("p", prefix(depth)).join(sizes(left, depth), ["tree", "p"])
-        if depth == DEPTH:
-            deal = F.when(
-                F.col("n") > REGION,
-                F.pmod(F.xxhash64("node", "tree"), F.ceil(F.col("n") / REGION))).otherwise(F.lit(0))
-            fits = sized.withColumn("deal", deal)
-        else:
-            sized = written(sized.select("node", "tree", "key", "p", "n"), "crowded")
-            fits = sized.filter(F.col("n") <= REGION).withColumn("deal", F.lit(0))
-            left = sized.filter(F.col("n") > REGION).select("node", "tree", "key")
-        cells.append(fits.select(
-            prefix(LEAST_DEPTH).alias("top"), region(F.lit(depth), "p", "deal").alias("region"), "tree", "node"))
-    dealt = cells[0]
-    for more in cells[1:]:
-        dealt = dealt.unionByName(more)
-    dealt = written(dealt, "crowded-cells")
-    anchors = crowded.groupBy("tree", prefix(LEAST_DEPTH).alias("top")).agg(F.array_distinct(F.array(*[
-        F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node"))["node"] for i in range(ANCHORS)
-    ])).alias("nodes"))
-    extra = dealt.select("tree", "top", "region").distinct().join(anchors, ["tree", "top"]).select(
-        "region", "tree", F.explode("nodes").alias("node"))
-    regions = small.unionByName(dealt.select("region", "tree", "node")).unionByName(extra).distinct()
-    return regions, dealt.select(region("top").alias("top"), "node")
+    # windows over the sorted order, each the second half of one and the first half of the next
+    ordered = row_index(crowded, ["tree", "top", "deep", "node"], "place")
+    half = F.floor(F.col("place") / max(1, REGION // 2))
+    windows = ordered.select("tree", "node", F.explode(F.array(half, half - 1)).alias("window")).select(
+        F.xxhash64("tree", "window").alias("region"), "node")
+    return small.unionByName(windows), crowded.select("top", "node")
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -177,17 +157,15 @@ def _screen(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flushed(rows):
             return pa.RecordBatch.from_arrays(
-                [pa.array(r, t) for r, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32()))],
-                names=["cell", "node", "tree"])
+                [pa.array(r, pa.int64()) for r in zip(*rows)], names=["cell", "node"])
 
-        rows: list[tuple[int, int, int]] = []
+        rows: list[tuple[int, int]] = []
         for table in _grouped(batches, "region"):
             nodes = table["node"].to_pylist()
-            tree = table["tree"][0].as_py()
-            signatures = np.frombuffer(b"".join(table["signature"].to_pylist()), ">u4").reshape(-1, HASHES)
+            lows = np.frombuffer(b"".join(table["low"].to_pylist()), np.uint8).reshape(-1, HASHES)
             unions = Unions(len(nodes))
             for i in range(1, len(nodes)):
-                alike = (signatures[:i] == signatures[i]).sum(axis=1) >= least * HASHES
+                alike = (lows[:i] == lows[i]).sum(axis=1) >= least * HASHES
                 for j in np.flatnonzero(alike).tolist():
                     unions.join(i, j)
             members: dict[int, set[int]] = {}
@@ -197,7 +175,7 @@ def _screen(least: float):
                 if len(cell) > 1:
                     ordered = np.array(sorted(cell), np.int64)
                     name = int.from_bytes(blake2b(ordered.tobytes(), digest_size=8).digest(), "little", signed=True)
-                    rows += [(name, node, tree) for node in ordered.tolist()]
+                    rows += [(name, node) for node in ordered.tolist()]
             if len(rows) > 10_000:
                 yield flushed(rows)
                 rows = []
@@ -212,22 +190,20 @@ def _confirm(k: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _grouped(batches, "cell"):
-            nodes, known = table["node"].to_pylist(), table["component"].to_pylist()
-            unions, first = Unions(len(nodes)), {}
-            for i, c in enumerate(known):
-                unions.join(first.setdefault(c, i), i)
+            nodes = table["node"].to_pylist()
+            unions = Unions(len(nodes))
             sets = []
             for at in range(len(nodes)):  # one text at a time: the words of a long text are large
-                found = shingle_sets(words_of(table["text"].slice(at, 1).to_pylist(), NO_SPACE), k)[0]
-                sets.append(frozenset(found.tolist()))
+                sets.append(shingle_sets(words_of(table["text"].slice(at, 1).to_pylist(), NO_SPACE), k)[0])
             links = []
             for i in range(1, len(nodes)):
                 for j in range(i):
-                    a, b = len(sets[i]), len(sets[j])
-                    if unions.find(i) == unions.find(j) or 100 * min(a, b) < percent * max(a, b):
+                    a, b = sorted((sets[i], sets[j]), key=len)
+                    if not len(a) or unions.find(i) == unions.find(j) or 100 * len(a) < percent * len(b):
                         continue
-                    both = len(sets[i] & sets[j])
-                    if 100 * both >= percent * (a + b - both):
+                    at = np.searchsorted(b, a)
+                    both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+                    if 100 * both >= percent * (len(a) + len(b) - both):
                         unions.join(i, j)
                         links.append((nodes[i], nodes[j]))
             if links:
@@ -238,8 +214,8 @@ def _confirm(k: int, percent: int):
 
 
 def _links(cells: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """``cells``: ``cell, node, component``."""
-    rows = cells.join(texts, "node").select("cell", "node", "component", "text")
+    """``cells``: ``cell, node``."""
+    rows = cells.join(texts.hint("merge"), "node").select("cell", "node", "text")
     rows = rows.repartition("cell").sortWithinPartitions("cell")
     return rows.mapInArrow(_confirm(k, percent), "u bigint, v bigint")
 
@@ -331,42 +307,32 @@ def near_duplicates(
     are the same document, whatever their texts.  A row without an id is never linked: its
     component is null and it is kept.
     """
-    prepared(docs.sparkSession)
+    spark = prepared(docs.sparkSession)
     sketch = sketches(docs, k, id_col, text_col)
     sets = written(
         sketch.filter("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id")
-        .agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature")), "shingle-sets")
-    with managed(docs.sparkSession):
+        .agg(F.min("doc_id").alias("node"), F.first("heads").alias("heads"), F.first("low").alias("low")), "shingle-sets")
+    texts = docs.select(col(id_col).cast("bigint").alias("node"), col(text_col).cast("binary").alias("text"))
+    with managed(spark):
         regions, crowded = forest_regions(sets)
-        screened = regions.join(sets.select("node", "signature"), "node").select("region", "tree", "node", "signature")
+        screened = regions.join(sets.select("node", "low").hint("merge"), "node").select("region", "node", "low")
         screened = screened.repartition("region").sortWithinPartitions("region").mapInArrow(
-            _screen(percent / 100 - SLACK), "cell bigint, node bigint, tree int")
-        cells = written(screened.groupBy("cell", "node").agg(F.min("tree").alias("tree")), "cells")
-
+            _screen(percent / 100 - SLACK), "cell bigint, node bigint")
+        # equal cells of several trees are compared once
+        cells = written(screened.distinct(), "cells")
         wanted = cells.select("node").distinct()
-        texts = written(
-            docs.select(col(id_col).cast("bigint").alias("node"), col(text_col).cast("binary").alias("text"))
-            .join(wanted.hint("merge"), "node", "left_semi"), "cell-texts")
-        early = cells.filter(F.col("tree") < FIRST_TREES).select("cell", "node", F.col("node").alias("component"))
-        links = written(_links(early, texts, k, percent), "early-links")
-        known = components(links)
-        labelled = cells.filter(F.col("tree") >= FIRST_TREES).join(known, "node", "left").select(
-            "cell", "node", F.coalesce("component", "node").alias("component"))
-        labelled = written(labelled, "late-cells")
-        open_cells = labelled.groupBy("cell").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b")
-        late = written(_links(labelled.join(open_cells, "cell", "left_semi"), texts, k, percent), "late-links")
-        links = links.unionByName(late)
-        known = components(links)
+        near = written(texts.join(wanted.hint("merge"), "node", "left_semi"), "cell-texts")
+        known = components(written(_links(cells, near, k, percent), "forest-links"))
         if crowded is not None:
             members = crowded.join(known, "node", "left").select("top", "node", F.coalesce("component", "node").alias("c"))
             mixed = members.groupBy("top").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a < b").select("top")
             left = members.join(mixed, "top", "left_semi").select("node").distinct()
             whole = written(
-                docs.select(col(id_col).cast("bigint").alias("node"), col(text_col).cast("binary").alias("text"))
-                .join(left.hint("merge"), "node", "left_semi").distinct().mapInArrow(_full_sets(k), "node bigint, shingles array<bigint>"),
-                "crowded-sets")
-            links = links.unionByName(exact_links(whole, known, percent))
-            known = components(links)
+                texts.join(left.hint("merge"), "node", "left_semi").distinct()
+                .mapInArrow(_full_sets(k), "node bigint, shingles array<bigint>"), "crowded-sets")
+            rest = exact_links(whole, known, percent)
+            if not rest.isEmpty():
+                known = components(known.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(rest))
         known = written(known, "components", outlives=True)
 
     named = sets.select("set_id", "node").join(known, "node", "left").select(
