@@ -55,25 +55,53 @@ def list_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]])
             F.struct(F.lit(h + p).alias("rule"), F.lit(v).alias("verdict")))
         for v, h, p in ordered
     ]
-    return F.coalesce(*fitting)
+    return F.coalesce(*fitting, F.lit(None).cast("struct<rule:string,verdict:string>"))
 
 
-def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float, max_tokens: int = 3) -> DataFrame:
+def token_classes(rows: DataFrame, least: float) -> DataFrame:
+    """``token, name``: tokens that at least ``least`` of the rows ``rid, tokens`` hold, named by the first token of the same rows.
+
+    Sets of rows are told apart by their size and two 64-bit sums of hashes.
+    """
+    held = rows.select("rid", F.explode("tokens").alias("token")).groupBy("token").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("rid")).alias("x"), F.bit_xor(F.xxhash64("rid", F.lit(1))).alias("y"))
+    # frequent tokens are few: each stands for at least that many rows
+    return held.filter(F.col("n") >= least).select(
+        "token", F.min("token").over(Window.partitionBy("n", "x", "y")).alias("name"))
+
+
+def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
     """Block rules ``rule_id, tokens, confidence, support`` from rows ``tokens array<string>, bad boolean``.
 
     ``min_support`` is the least share of all labelled urls that hold the tokens and are bad.
     Of a rule and a shorter one inside it that is at least as confident, only the shorter
-    stays.  No labelled urls, or none bad, give no rules.
+    stays; rules have any length.  Tokens that the same labelled urls hold are mined as one, so
+    a deep path is not mined in all its combinations, and a rule stands for each choice
+    of them.  No labelled urls, or none bad, give no rules.
     """
     if not labelled.filter("bad").limit(1).count():
         none = F.lit(None).cast("double")
         return labelled.limit(0).select(F.xxhash64("tokens").alias("rule_id"), "tokens", none.alias("confidence"), none.alias("support"))
-    baskets = labelled.select(
-        F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
+    rows = written(labelled.select("tokens", "bad", F.monotonically_increasing_id().alias("rid")), "labelled-urls")
+    total = rows.count()
+    classes = written(token_classes(rows, min_support * total), "token-classes")
+    named = rows.select("rid", F.explode("tokens").alias("token")).join(classes, "token").groupBy("rid").agg(
+        F.collect_set("name").alias("names"))
+    names = F.coalesce("names", F.array().cast("array<string>"))
+    baskets = rows.select("rid", "bad").join(named, "rid", "left").select(
+        F.when(F.col("bad"), F.concat(names, F.array(F.lit(BAD)))).otherwise(names).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.filter(
-        (F.element_at("consequent", 1) == BAD) & (F.size("antecedent") <= max_tokens)
-    ).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
+    mined = written(model.associationRules.filter(
+        F.element_at("consequent", 1) == BAD
+    ).select(F.array_sort("antecedent").alias("names"), "confidence", "support"), "mined-rules")
+    members = classes.groupBy("name").agg(F.array_sort(F.collect_list("token")).alias("members"))
+    choices = mined.select("names", "confidence", "support", F.explode("names").alias("name")).join(members, "name")
+    choices = choices.groupBy("names", "confidence", "support").agg(F.collect_list("members").alias("choices"))
+    none = F.array(F.array().cast("array<string>"))
+    rules = choices.select("confidence", "support", F.explode(F.aggregate(
+        "choices", none, lambda done, more: F.flatten(F.transform(
+            done, lambda d: F.transform(more, lambda m: F.concat(d, F.array(m))))))).alias("tokens"))
+    rules = rules.select(F.array_sort("tokens").alias("tokens"), "confidence", "support")
     # rules are few: each stands for at least min_support of the labelled urls
     rules = written(rules.withColumn("rule_id", F.xxhash64("tokens")), "url-rules")
     shorter = rules.select(
