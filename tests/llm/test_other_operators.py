@@ -1,6 +1,7 @@
 """Quality, mixing, pseudonyms, URL rules, chat formatting and the pipeline: brute force and odd rows."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -15,7 +16,7 @@ import corpus_pipeline
 from conftest import SMALL
 from millrace.llm import quality
 from millrace.llm.chat_format import END, conversation_digests, format_conversations, read_conversations
-from millrace.llm.mixing import mix, one_period, whole_shares
+from millrace.llm.mixing import earliest_deadlines, mix, whole_units
 from millrace.llm.pseudonyms import PATTERNS, feistel, pseudonymize
 from millrace.llm.quality import FOLD, ORDER, classify, perplexities, shards_of, train, trusted_ids
 from millrace.llm.url_rules import judge_urls, mine_rules
@@ -24,18 +25,18 @@ from millrace.llm.url_rules import judge_urls, mine_rules
 # --- mixing ---------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("weights", [
-    {"a": 1.0}, {"a": 0.5, "b": 0.3, "c": 0.2}, {f"s{i}": i + 1.0 for i in range(70)}, {"a": 1e9, "b": 1e-9}, {"a": 1, "b": 0},
+    [1.0], [0.5, 0.3, 0.2], [i + 1.0 for i in range(70)], [1e9, 1e-9], [1, 0], [0.7321, 0.2678, 1e-4], [10**0.5] + [1.0] * 19,
 ])
-def test_period_is_less_than_one_block_away(weights):
-    shares = whole_shares(weights)
-    slots, period = one_period(shares), sum(shares.values())
-    assert sorted(x for s in slots.values() for x in s) == list(range(period))
-    assert all(shares[s] > 0 for s, w in weights.items() if w)
-    for s, own in slots.items():
-        w, got, own = Fraction(shares[s], period), 0, set(own)
-        for t in range(period):
-            got += t in own
-            assert abs(got - w * (t + 1)) < 1
+def test_less_than_one_block_away_from_the_given_weights(weights):
+    units, exact = whole_units(weights), [Fraction(str(w)) for w in weights]
+    targets = [w / sum(exact) for w in exact]
+    assert [Fraction(u, sum(units)) for u in units] == targets
+    got, n = [0] * len(weights), 20_000
+    for t, s in zip(range(1, n + 1), earliest_deadlines(units, [n + 1] * len(weights))):
+        got[s] += 1
+        if t % 97 == 0 or t < 300 or t > n - 300:
+            assert all(abs(g - w * t) < 1 for g, w in zip(got, targets))
+    assert sum(got) == n
 
 
 def mixing_docs(spark):
@@ -64,29 +65,38 @@ def test_mixing_against_brute_force(spark):
             assert r.place == at and r.block == at // 2000
             at += len(text[r.doc_id] or "") + 1
         assert at == sizes[s]
-    # earliest deadline first, step by step
-    period = got[0].period
-    w = {r.source: Fraction(r.share, period) for r in got}
-    wanted, done = {(r.source, r.block): r.slot for r in got}, Counter()
-    for t in range(max(r.slot for r in got) + 1):
+    # earliest deadline first, step by step, by the given weights
+    w = {s: Fraction(str(x)) for s, x in weights.items()}
+    blocks = {s: -(-sizes[s] // 2000) for s in w}
+    slots, done = {}, Counter()
+    while True:
+        t = len(slots)
         ready = [(math.ceil((done[s] + 1) / w[s]), "null" if s is None else f"={s}", s) for s in w if math.floor(done[s] / w[s]) <= t]
         s = min(ready)[2]
-        assert wanted.get((s, done[s]), t) == t
+        if done[s] == blocks[s]:
+            break
+        slots[s, done[s]] = t
         done[s] += 1
-    horizon = min(r for r in [next(t for t in range(10**6) if empty(t, s, sizes, w)) for s in w])
-    assert all(r.within == (r.slot < horizon) for r in got)
-
-
-def empty(t, s, sizes, w, cache={}):
-    """True at the slot that would take the first block a source no longer has."""
-    key = (s, sizes[s], w[s], tuple(sorted((str(k), v) for k, v in w.items())))
-    if key not in cache:
-        period = 1024
-        shares = {("null" if k is None else f"={k}"): int(v * period) for k, v in w.items()}
-        own = one_period(shares)["null" if s is None else f"={s}"]
-        blocks = -(-sizes[s] // 2000)
-        cache[key] = blocks // len(own) * period + own[blocks % len(own)]
-    return t == cache[key]
+    for r in got:
+        late = max(len(slots), math.ceil((r.block + 1) / w[r.source]) - 1)
+        assert r.slot == slots.get((r.source, r.block), late) and r.within == ((r.source, r.block) in slots)
+    # less than one block from the given weights before the horizon
+    given = Counter()
+    for t, (s, _) in enumerate(sorted(slots, key=slots.get), 1):
+        given[s] += 1
+        assert all(abs(given[s] - x * t) < 1 for s, x in w.items())
+
+
+def test_mixing_rows_that_share_an_id_and_larger_blocks(spark, monkeypatch):
+    from millrace.llm import mixing
+
+    data = [(7, f"text {i} " * 9, "a" if i % 3 else None) for i in range(600)] + [(8, "same", "a")] * 50
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, source string")
+    monkeypatch.setattr(mixing, "MAX_BLOCKS", 8)
+    got = mix(docs, block_bytes=10).collect()
+    assert Counter((r.doc_id, r.source) for r in got) == Counter((d[0], d[2]) for d in data)
+    assert len({(r.source, r.block) for r in got}) <= 10
+    assert all(len({r.place for r in got if r.source == s}) == sum(r.source == s for r in got) for s in ("a", None))
 
 
 def test_mixing_without_weights_or_rows(spark):
@@ -301,6 +311,7 @@ def test_urls(spark):
         ("x.com", "/fr/", "com/fr/", "allow"), ("b:", "//c", None, "allow"),
     ]
     assert judge_urls(pages.limit(0), labels, RULES).count() == 0
+    assert {r.verdict for r in judge_urls(pages, labels, []).collect()} == {"allow"}
 
 
 def test_mined_rules_block_what_labels_taught(spark):
@@ -323,6 +334,26 @@ def test_longer_rules_need_more_confidence(spark):
     assert sorted(tuple(r.tokens) for r in mined) == [("h:a",), ("h:b",), ("h:d",)]
 
 
+def test_rules_against_all_token_sets(spark):
+    rnd = random.Random(11)
+    deep = [f"p:{c}" for c in "abcdefghijklmnop"]
+    rows = [(deep, True)] * 12 + [(["h:x", "h:y"], True)] * 9 + [(["h:x"], False)] * 9 + [(["h:y"], False)] * 9
+    rows += [(["q:1", "q:2", "q:3", "q:4"], True)] * 8
+    rows += [([q for q in ("q:1", "q:2", "q:3", "q:4") if q != f"q:{i % 4 + 1}"], False) for i in range(24)]
+    rows += [(rnd.sample(["r:1", "r:2", "r:3", "r:4", "r:5"], rnd.randint(0, 4)), rnd.random() < 0.4) for _ in range(60)]
+    mined = mine_rules(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), 0.04, 0.7).collect()
+    confident = {}
+    for kind in ("p:", "h:", "q:", "r:"):
+        tokens = sorted({t for row, _ in rows for t in row if t.startswith(kind)})
+        for n in range(1, 2 if kind == "p:" else 6):  # of equal tokens the single ones stay
+            for chosen in itertools.combinations(tokens, n):
+                held = [bad for row, bad in rows if set(chosen) <= set(row)]
+                if sum(held) >= 0.04 * len(rows) and sum(held) >= 0.7 * len(held):
+                    confident[chosen] = sum(held) / len(held)
+    least = {c for c, x in confident.items() if not any(set(s) < set(c) and y >= x for s, y in confident.items())}
+    assert {tuple(r.tokens) for r in mined} == least and ("q:1", "q:2", "q:3", "q:4") in least and len(mined) == len(least)
+
+
 # --- chat -----------------------------------------------------------------------------------
 
 def test_chat_round_trip(spark):
