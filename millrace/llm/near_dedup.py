@@ -320,19 +320,23 @@ def near_duplicates(
             _screen(percent / 100 - SLACK), "cell bigint, node bigint")
         # equal cells of several trees are compared once
         cells = written(screened.distinct(), "cells")
-        wanted = cells.select("node").distinct()
+        wanted = cells.select("node")
+        if crowded is not None:  # for the exact join: documents are shuffled once
+            wanted = wanted.unionAll(crowded.select("node"))
+        wanted = wanted.distinct()
         near = written(texts.join(wanted.hint("merge"), "node", "left_semi"), "cell-texts")
         known = components(written(_links(cells, near, k, percent), "forest-links"))
         if crowded is not None:
             members = crowded.join(known, "node", "left").select("top", "node", F.coalesce("component", "node").alias("c"))
             mixed = members.groupBy("top").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a < b").select("top")
-            left = members.join(mixed, "top", "left_semi").select("node").distinct()
-            whole = written(
-                texts.join(left.hint("merge"), "node", "left_semi").distinct()
-                .mapInArrow(_full_sets(k), "node bigint, shingles array<bigint>"), "crowded-sets")
-            rest = exact_links(whole, known, percent)
-            if not rest.isEmpty():
-                known = components(known.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(rest))
+            left = written(members.join(mixed, "top", "left_semi").select("node").distinct(), "mixed-nodes")
+            if not left.isEmpty():
+                whole = written(
+                    near.join(left.hint("merge"), "node", "left_semi").distinct()
+                    .mapInArrow(_full_sets(k), "node bigint, shingles array<bigint>"), "crowded-sets")
+                rest = exact_links(whole, known, percent)
+                if not rest.isEmpty():
+                    known = components(known.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(rest))
         known = written(known, "components", outlives=True)
 
     named = sets.select("set_id", "node").join(known, "node", "left").select(
