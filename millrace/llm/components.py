@@ -20,17 +20,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionAll(least.select("u", F.col("m").alias("v")))
 
 
+def _is_done(edges: DataFrame) -> bool:
+    """Whether every node has one edge down, or only edges up: then the components are stars."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("downs"), F.lit(0).alias("ups")).unionAll(
+        edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("downs").alias("downs"), F.max("ups").alias("ups")).filter("downs + ups > 1").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, component`` for every end of ``links (u bigint, v bigint)`` except the least node of a component.
 
     A component is named by its least node.  Every round is written, nothing is collected,
     and a hub is only ever a key of aggregates and of joins that may be split.
     """
-    edges = written(links.filter("u != v").select("u", "v").distinct(), "links")
-    state = None
-    while True:
-        edges = written(_small_star(_large_star(edges).distinct()).filter("u != v").distinct(), "stars")
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        state = now
+    edges = written(
+        links.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    while not _is_done(edges):
+        edges = written(_small_star(_large_star(edges)).filter("u != v").distinct(), "stars")
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
