@@ -57,3 +57,12 @@ def _mixed_folder(t):
     FROM orders""")
 def csv_roundtrip(t):
     return read_csv_files(t.spark, f"{_mixed_folder(t)}/*/part-*", row_id=None).select("id", "mark", "amount", "status")
+
+
+@query("csv_line_breaks", r"""
+    SELECT doc_id, lang, md5(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g')) AS text_md5 FROM documents""")
+def csv_line_breaks(t):
+    folder = new_path(t.spark, "csv-texts")
+    write_csv(t.documents.select("doc_id", "lang", "text"), folder)
+    back = read_csv_files(t.spark, f"{folder}/part-*", row_id=None)
+    return back.select("doc_id", "lang", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..plans.scratch import written
 from ..session import ship_package
+from .quotes import leaves_open
 
 # The encodings to try, in this order.
 ENCODINGS = ("utf-8", "gbk", "gb2312", "gb18030", "big5", "cp936")
@@ -30,7 +31,7 @@ def raw_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     )
 
 
-def _runs(batches: Iterator[pa.RecordBatch]):
+def block_runs(batches: Iterator[pa.RecordBatch]):
     """Runs of lines of one block: ``(path, at, place of the first line in its block, lines)``."""
     block, done = None, 0
     for batch in batches:
@@ -63,34 +64,36 @@ def valid_mask(data: bytes, encodings: Sequence[str]) -> int:
 def survey_files(
     spark: SparkSession, paths: str | Sequence[str], encodings: Sequence[str] = ENCODINGS
 ) -> DataFrame:
-    """Written table ``path, encoding, header, header_at, header_pos``: one row per file that is not empty, from one scan.
+    """Written table ``path, encoding, header, header_at, header_pos, breaks``: one row per file that is not empty, from one scan.
 
     ``encoding`` is the first in which all lines are valid, or null; ``header`` holds the bytes of the
-    first line that is not blank (null if all are), the others say where it is, as ``numbered_lines``
-    does.  A few numbers per block are merged, no line is shuffled.
+    first line that is not blank (null if all are), the next two say where it is, as ``numbered_lines``
+    does, and ``breaks`` whether a line leaves a quoted cell open.  A few numbers per block are merged,
+    no line is shuffled.
     """
     names = list(encodings)
 
     def look(batches):
-        for path, at, place, lines in _runs(batches):
+        for path, at, place, lines in block_runs(batches):
             values = lines.to_pylist()
             first = next((i for i, v in enumerate(values) if v.strip()), None)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([path]), pa.array([valid_mask(b"\n".join(values), names)], pa.int32()), pa.array([at], pa.int64()),
                  pa.array([None if first is None else place + first], pa.int64()),
-                 pa.array([None if first is None else values[first]], pa.binary())],
-                names=["path", "mask", "at", "pos", "header"])
+                 pa.array([None if first is None else values[first]], pa.binary()),
+                 pa.array([any(map(leaves_open, values))], pa.bool_())],
+                names=["path", "mask", "at", "pos", "header", "breaks"])
 
     ship_package(spark)
-    seen = raw_lines(spark, paths).mapInArrow(look, "path string, mask int, at bigint, pos bigint, header binary")
+    seen = raw_lines(spark, paths).mapInArrow(look, "path string, mask int, at bigint, pos bigint, header binary, breaks boolean")
     found_at = F.min(F.when(F.col("header").isNotNull(), F.struct("at", "pos", "header"))).alias("first")
-    files = seen.groupBy("path").agg(F.bit_and("mask").alias("mask"), found_at)
+    files = seen.groupBy("path").agg(F.bit_and("mask").alias("mask"), found_at, F.bool_or("breaks").alias("breaks"))
     found = F.lit(None).cast("string")
     for bit in reversed(range(len(names))):
         found = F.when(F.getbit("mask", F.lit(bit)) == 1, F.lit(names[bit])).otherwise(found)
     return written(files.select(
-        "path", found.alias("encoding"), "first.header", F.col("first.at").alias("header_at"), F.col("first.pos").alias("header_pos")),
-        "files")
+        "path", found.alias("encoding"), "first.header", F.col("first.at").alias("header_at"), F.col("first.pos").alias("header_pos"),
+        "breaks"), "files")
 
 
 def detect_encodings(
@@ -125,7 +128,7 @@ def numbered_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
     """``path, at, pos, line``: ``pos`` counts the lines of a block, so the three name a line."""
 
     def number(batches):
-        for path, at, place, lines in _runs(batches):
+        for path, at, place, lines in block_runs(batches):
             n = len(lines)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([path] * n, pa.string()), pa.array([at] * n, pa.int64()),

@@ -13,11 +13,15 @@ from ..plans.names import col
 from ..plans.ranking import row_index
 from ..plans.scratch import written
 from .encodings import ENCODINGS, decoded, left_out, numbered_lines, survey_files
+from .quotes import leaves_open
+from .records import block_states, joined_records, lines_both_ways, unclosed_files
+
+_DOUBLED = {"escape": '"'}  # quotes inside quoted cells are doubled
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """One CSV file or folder with a header row, in UTF-8."""
-    reader = spark.read.option("header", True)
+    """One CSV file or folder with a header row, in UTF-8, each row on one line; ``read_csv_files`` reads line breaks in cells."""
+    reader = spark.read.options(header=True, **_DOUBLED)
     return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
 
 
@@ -31,7 +35,7 @@ def _parsed(line: Column, header: Column, layouts: Sequence[str]) -> Column:
     parsed = F.lit(None)
     for h in layouts:
         own = _header_names(h)
-        cells = F.from_csv(line, ", ".join(f"c{i} string" for i in range(len(own))))
+        cells = F.from_csv(line, ", ".join(f"c{i} string" for i in range(len(own))), _DOUBLED)
         place = {n: i for i, n in reversed(list(enumerate(own)))}
         row = F.struct(*[
             (cells.getField(f"c{place[n]}") if n in place else F.lit(None).cast("string")).alias(n) for n in names])
@@ -76,17 +80,24 @@ def read_csv_files(
     no listed encoding (``unreadable_files`` lists them); it is an error if nothing is
     left.  ``schema`` types the columns it names, the others stay text; without it types
     are found on the texts that were read.  ``row_id`` numbers the rows by file and place.
-    A quoted cell must not contain a line break.
+    Quoted cells may hold line breaks, which become ``\\n``; quotes inside them are doubled.
+    The names in a header must not, and a file that ends inside a quoted cell is unreadable.
     """
     files = survey_files(spark, pattern, encodings).filter("encoding IS NOT NULL")
     files = written(files.select(
-        "path", "encoding", decoded(F.col("header"), F.col("encoding")).alias("header"), "header_at", "header_pos"), "headers")
+        "path", "encoding", decoded(F.col("header"), F.col("encoding")).alias("header"), "header_at", "header_pos", "breaks"),
+        "headers")
     # one row per layout, not per file
     layouts = sorted(r["header"] for r in files.select("header").distinct().collect() if r["header"])
     if not layouts:
         raise ValueError(f"no readable file matches {pattern}")
-    lines = numbered_lines(spark, pattern).join(files, "path").filter("at > header_at OR at = header_at AND pos > header_pos")
-    lines = lines.withColumn("line", decoded(F.col("line"), F.col("encoding"))).filter(F.trim("line") != "")
+    if any(leaves_open(h.encode()) for h in layouts):
+        raise ValueError(f"a header among {pattern} has a name with a line break")
+    lines = numbered_lines(spark, pattern).join(files.filter("NOT breaks"), "path")
+    lines = lines.withColumn("line", decoded(F.col("line"), F.col("encoding")))
+    if not files.filter("breaks").isEmpty():
+        lines = lines.unionByName(joined_records(spark, pattern, files.filter("breaks")))
+    lines = lines.filter("at > header_at OR at = header_at AND pos > header_pos").filter(F.trim("line") != "")
     place = F.struct("path", "at", "pos")
     table = written(
         lines.select(place.alias("place"), _parsed(F.col("line"), F.col("header"), layouts).alias("row")), "csv-cells")
@@ -102,7 +113,9 @@ def read_csv_files(
 
 def unreadable_files(spark: SparkSession, pattern: str, encodings: Sequence[str] = ENCODINGS) -> DataFrame:
     """``path, reason`` of the files that ``read_csv_files`` leaves out."""
-    return left_out(survey_files(spark, pattern, encodings))
+    files = survey_files(spark, pattern, encodings)
+    open_ended = unclosed_files(block_states(lines_both_ways(spark, pattern))).join(files.filter("encoding IS NOT NULL"), "path")
+    return left_out(files).unionAll(open_ended.select("path", F.lit("ends inside a quoted cell").alias("reason")))
 
 
 _INTEGRAL = [T.ByteType, T.ShortType, T.IntegerType, T.LongType]
@@ -140,8 +153,9 @@ def union_by_name(frames: Sequence[DataFrame]) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Every part file has its own header, so the folder reads back as one table."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """Every part file has its own header, so the folder reads back as one table; white space in cells stays."""
+    kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("overwrite").options(header=True, **_DOUBLED, **kept).csv(path)
 
 
 def transcode(spark: SparkSession, pattern: str, path: str, encodings: Sequence[str] = ENCODINGS) -> None:

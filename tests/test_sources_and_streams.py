@@ -115,6 +115,60 @@ def test_large_file_in_many_blocks(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+CELLS = ["plain", "two\nlines", 'a "word", quoted', "\n", "first\n\n  \nlast", "5\" pipe", "", '"', 'x"\n"y', "1,2\n3,4", "词\n句"]
+
+
+@pytest.mark.parametrize("encoding", ["utf-8", "gbk"])
+def test_line_breaks_in_cells_across_blocks(spark, tmp_path, encoding):
+    """The same rows as the csv module reads, whatever blocks the file is cut into."""
+    import csv
+    import io
+    import random
+
+    rng = random.Random(3)
+    written = [(i, rng.choice(CELLS), rng.choice(CELLS) * rng.choice([1, 1, 1, 40])) for i in range(4000)]
+    text = io.StringIO()
+    csv.writer(text, lineterminator="\n").writerows([("id", "a", "b"), *written])
+    (tmp_path / "broken.csv").write_bytes(text.getvalue().encode(encoding))
+    (tmp_path / "plain.csv").write_bytes("id,a,b\n-1,甲,乙\n".encode(encoding))
+    for size in ("16k", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            table = files.read_csv_files(spark, str(tmp_path / "*.csv"))
+            found = [(r.id, r.a or "", r.b or "") for r in table.orderBy("row_id").collect()]
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert found == [*written, (-1, "甲", "乙")]
+
+
+def test_state_of_a_line_agrees_with_the_csv_module():
+    import csv
+    import itertools
+
+    from millrace.sources.quotes import leaves_open
+
+    for n in range(7):
+        for chars in itertools.product('",x', repeat=n):
+            line = "".join(chars)
+            # two more lines: they are swallowed where a cell is open
+            rows = list(csv.reader([line + "\n", "x\n", "x\n"]))
+            assert leaves_open(line.encode()) == (len(rows) == 1), line
+            rows = list(csv.reader(['"\n', line + "\n", "x\n", "x\n"]))
+            assert leaves_open(line.encode(), True) == (len(rows) == 1), line
+
+
+def test_a_quote_that_never_closes(spark, tmp_path):
+    (tmp_path / "open.csv").write_text('a,b\n1,"x\n2,y\n3,z\n')
+    (tmp_path / "good.csv").write_text('a,b\n4,"p\nq"\n')
+    pattern = str(tmp_path / "*.csv")
+    assert rows_of(files.read_csv_files(spark, pattern), "a", "b") == [(4, "p\nq")]
+    listed = files.unreadable_files(spark, pattern).collect()
+    assert [(r.path.rsplit("/", 1)[1], r.reason) for r in listed] == [("open.csv", "ends inside a quoted cell")]
+    (tmp_path / "good.csv").write_text('"a\nc",b\n4,5\n')
+    with pytest.raises(ValueError):
+        files.read_csv_files(spark, pattern)
+
+
 def test_common_types():
     import pyspark.sql.types as T
 
