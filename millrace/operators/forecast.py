@@ -8,10 +8,11 @@ from multiprocessing.pool import ThreadPool
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.names import col
 from .metrics import forecast_errors
+from .moments import matching_points, moments, regression_points
 
 
 def persistence(windows: DataFrame, targets: Sequence[str], label_width: int = 5) -> DataFrame:
@@ -39,43 +40,51 @@ def seasonal_persistence(
     return windows.withColumn("predictions", F.array(*steps))
 
 
+def _input_cells(columns: Sequence[str]) -> Column:
+    return F.flatten(F.transform("inputs", lambda row: F.array(*[row.getField(c).cast("double") for c in columns])))
+
+
 def flat_inputs(windows: DataFrame, columns: Sequence[str], name: str = "features") -> DataFrame:
     """All input steps of all columns as one feature vector."""
-    cells = F.flatten(F.transform(
-        "inputs", lambda row: F.array(*[row.getField(c).cast("double") for c in columns])
-    ))
-    return windows.withColumn(name, array_to_vector(cells))
+    return windows.withColumn(name, array_to_vector(_input_cells(columns)))
 
 
 def fit_direct(
     windows: DataFrame, columns: Sequence[str], targets: Sequence[str], label_width: int = 5,
-    method: str = "linear", split: str = "split", parallelism: int = 4,
+    method: str = "linear", split: str = "split", parallelism: int = 4, rounds: int = 10, least_gain: float = 0.01,
 ) -> dict[tuple[str, int], object]:
-    """One regression per target and step ahead, fitted on the training windows."""
-    train = flat_inputs(windows.filter(col(split) == "train"), columns)
-    train = train.select("features", *[
-        F.get("labels", F.lit(h)).getField(t).cast("double").alias(_label(t, h))
-        for t in targets for h in range(label_width)
-    ]).persist()
-
-    def fit(item):
-        t, h = item
-        name = _label(t, h)
-        if method == "linear":
-            estimator = LinearRegression(featuresCol="features", labelCol=name, predictionCol=f"pred_{name}")
-        elif method == "gbt":
-            estimator = GBTRegressor(
-                featuresCol="features", labelCol=name, predictionCol=f"pred_{name}", maxIter=10, seed=42
-            )
-        else:
-            raise ValueError(f"unknown method {method}")
-        return item, estimator.fit(train.select("features", col(name)))
+    """One regression per target and step ahead, fitted on the training windows without nulls.
 
+    All linear ones come from one scan: means and covariances of inputs and labels say all that least
+    squares needs.  Boosted ones (``gbt``) watch the windows of the ``val`` split: they stop after ``rounds`` trees or
+    where a further tree gains less than ``least_gain`` of the error there, and keep the trees up to the best.
+    Without such windows all trees are kept.
+    """
+    items = [(t, h) for t in targets for h in range(label_width)]
+    names = [_label(*item) for item in items]
+    labels = [F.get("labels", F.lit(h)).getField(t).cast("double") for t, h in items]
+    cells = F.concat(_input_cells(columns), F.array(*labels))
+    complete = F.forall(cells, lambda x: x.isNotNull() & ~F.isnan(x))
+    if method == "linear":
+        train = windows.filter(col(split) == "train").filter(complete).select(cells.alias("cells"))
+        _, mean, covariance = moments(train)
+        rows = regression_points(windows.sparkSession, matching_points(mean, covariance), len(mean) - len(items), names)
+        make = lambda name: LinearRegression(featuresCol="features", labelCol=name, predictionCol=f"pred_{name}")
+    elif method == "gbt":
+        seen = windows.filter(col(split).isin("train", "val")).filter(complete)
+        rows = flat_inputs(seen, columns).select(
+            "features", (col(split) == "val").alias("watched"), *[y.alias(name) for y, name in zip(labels, names)])
+        watch = {} if rows.filter("watched").isEmpty() else {"validationIndicatorCol": "watched", "validationTol": least_gain}
+        make = lambda name: GBTRegressor(
+            featuresCol="features", labelCol=name, predictionCol=f"pred_{name}", maxIter=rounds, seed=42, **watch)
+    else:
+        raise ValueError(f"unknown method {method}")
+    rows = rows.persist()
     try:
         with ThreadPool(parallelism) as pool:
-            return dict(pool.map(fit, [(t, h) for t in targets for h in range(label_width)]))
+            return dict(zip(items, pool.map(lambda name: make(name).fit(rows), names)))
     finally:
-        train.unpersist()
+        rows.unpersist()
 
 
 def _label(target: str, step: int) -> str:
@@ -133,7 +142,6 @@ def best_candidate(comparison: DataFrame) -> str:
     return comparison.filter("selected").select("candidate").first()[0]
 
 
-
 def keep_best(
     candidates: dict[str, DataFrame], fitted: dict[str, dict], windows: DataFrame, columns: Sequence[str],
     targets: Sequence[str], path: str, split: str = "split",

@@ -174,6 +174,44 @@ def test_boosted_candidate_predicts(ramp):
         forecast.fit_direct(windows, ["T"], ["T"], method="other")
 
 
+def test_linear_fits_equal_single_fits(spark):
+    """All targets and steps from one matrix, as each regression for itself; incomplete windows take no part."""
+    import numpy as np
+    from pyspark.ml.regression import LinearRegression
+
+    rng = np.random.default_rng(5)
+    a = 20 + np.cumsum(rng.normal(size=400))
+    b = 1e-3 * rng.normal(size=400) + 1e-4 * a
+    rows = [(i, float(x), None if i == 77 else float(y)) for i, (x, y) in enumerate(zip(a, b))]
+    df = spark.createDataFrame(rows, "id bigint, a double, b double")
+    windows = timeseries.sliding_windows(row_index(df, ["id"]), ["a", "b"]).withColumn("split", F.lit("train")).cache()
+    models = forecast.fit_direct(windows, ["a", "b"], ["a", "b"])
+    assert sorted(models) == [(t, h) for t in "ab" for h in range(5)]
+    bad = "exists(inputs, x -> x.b IS NULL) OR exists(labels, x -> x.b IS NULL)"
+    flat = forecast.flat_inputs(windows.filter(f"NOT ({bad})"), ["a", "b"]).cache()
+    assert flat.count() < windows.count()
+    for (t, h), model in models.items():
+        y = flat.select("features", F.get("labels", F.lit(h)).getField(t).alias("y"))
+        single = LinearRegression(labelCol="y").fit(y)
+        one, other = (m.transform(y).select(F.col(m.getPredictionCol())).toPandas().to_numpy() for m in (model, single))
+        assert np.abs(one - other).max() < 1e-8 * y.toPandas()["y"].std()
+    with pytest.raises(ValueError):
+        forecast.fit_direct(windows.filter("false"), ["a"], ["a"])
+
+
+def test_boosting_stops_on_the_validation_split(spark):
+    """Labels that inputs say nothing about: further trees do not help on windows that were not seen."""
+    import random
+
+    rng = random.Random(11)
+    df = spark.createDataFrame([(i, rng.random()) for i in range(600)], "id bigint, v double")
+    windows = timeseries.sliding_windows(row_index(df, ["id"]), ["v"]).withColumn(
+        "split", F.when(F.col("start_idx") < 350, "train").otherwise("val")).cache()
+    watched = forecast.fit_direct(windows, ["v"], ["v"], label_width=1, method="gbt", rounds=8)["v", 0]
+    blind = forecast.fit_direct(windows.filter("split = 'train'"), ["v"], ["v"], label_width=1, method="gbt", rounds=8)["v", 0]
+    assert watched.getNumTrees < 8 and blind.getNumTrees == 8
+
+
 GAPS = [
     (1, "2024-03-01 22:15:00", None), (2, "2024-03-01 22:40:00", 4.0), (3, "2024-03-01 22:50:00", None),
     (4, "2024-03-02 01:05:00", 6.0), (5, "2024-03-03 23:59:59", 1.0), (6, "2024-03-04 00:00:00", 9.0),
