@@ -2,9 +2,11 @@
 
 Points go to the nearest of a few pivots; each such cell is dealt out to blocks of
 bounded size.  Searching a point's own block bounds how far its k-th neighbour can
-be, and only the cells whose ball comes that close are searched as well.  A block
-meets the queries of one other block at a time, so no task ever holds more than two
-blocks, whatever share of the points falls into one cell.
+be, and only the cells whose ball comes that close are searched as well.  For that,
+small blocks lie together in tiles: a query goes once to each tile that holds such a
+cell, however many of them it holds.  A tile meets the queries of one other tile at a
+time, so no task ever holds more than two tiles, whatever share of the points falls into
+one cell.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from ..plans.names import col
 from ..plans.scratch import written
 
 PIVOTS = 4_096  # over all groups together
+TILE_ROWS = 2_048  # of blocks that are searched together, where a block is not larger
 TIE_PLACES = 9  # distances equal to so many places are ties, broken by key
 _CHUNK_CELLS = 4_000_000  # doubles held at once while distances are computed
 
@@ -117,14 +120,39 @@ def _search(points: DataFrame, k: int, block_rows: int, probes: int | None) -> D
 def _search_cells(points: DataFrame, sizes: DataFrame, k: int, block_rows: int, probes: int | None, schema: str) -> DataFrame:
     pivots = _pivots(points, sizes, block_rows)
     placed = _place(points, pivots, block_rows)
-    cells = _cells(placed)
-    members = placed.withColumn("sub", _sub("key", F.col("subs"))).drop("subs")
+    cells = _tiled(_cells(placed), block_rows)
+    members = placed.withColumn("sub", _sub("key", F.col("subs")))
+    grp = points.schema["grp"].dataType.simpleString()
+    spans = points.sparkSession.createDataFrame(
+        [(c["grp"], c["cell"], c["first"], c["tiles"]) for c in cells], f"grp {grp}, cell int, first int, tiles int")
+    # the blocks of a cell are dealt out to its tiles in turn; no more cells than pivots
+    tile = F.col("first") + F.floor(F.col("sub") * F.col("tiles") / F.col("subs")).cast("int")
+    members = members.join(F.broadcast(spans), ["grp", "cell"]).withColumn("tile", tile).drop("subs", "first", "tiles")
     home = written(members.groupBy("grp", "cell", "sub").applyInPandas(_search_home(k), schema), "knn-home")
     reach = home.groupBy("key").agg(F.count("*").alias("have"), F.max("distance").alias("far"))
     routes = written(_route(members.join(reach, "key", "left"), pivots, cells, k, probes), "knn-routes")
     return home.unionAll(_search_others(routes, members, k, schema))
 
 
+def _tiled(cells: list, block_rows: int) -> list[dict]:
+    """Each cell with its first tile and the number of them: neighbouring numbers share a tile while there is room."""
+    room = max(TILE_ROWS, block_rows)
+    out, filled, used = [], {}, {}
+    for c in sorted(cells, key=lambda c: c["cell"]):
+        g, n = c["grp"], c["n"]
+        tiles = min(c["subs"], ceil(n / room))
+        if tiles > 1 or g not in used or filled[g] + n > room:
+            first = used.get(g, 0)
+            used[g] = first + tiles
+            # the tiles of a large cell are its own
+            filled[g] = n if tiles == 1 else room
+        else:
+            first = used[g] - 1
+            filled[g] += n
+        out.append({**c.asDict(), "first": first, "tiles": tiles})
+    return out
+
+
 def _sub(key: str, subs):
     return F.pmod(F.xxhash64(key), subs.cast("bigint")).cast("int")
 
@@ -166,7 +194,7 @@ def _place(points: DataFrame, pivots: list, block_rows: int) -> DataFrame:
 
 def _cells(placed: DataFrame) -> list:
     return placed.groupBy("grp", "cell").agg(
-        F.max("subs").alias("subs"), F.max("off").alias("radius"), F.min("off").alias("inner")
+        F.max("subs").alias("subs"), F.max("off").alias("radius"), F.min("off").alias("inner"), F.count("*").alias("n")
     ).collect()
 
 
@@ -179,9 +207,10 @@ def _gaps(a: np.ndarray, b: np.ndarray):
         yield rows, np.sqrt(np.einsum("qmd,qmd->qm", diff, diff))
 
 
-def _closest(grp, queries: pd.DataFrame, members: pd.DataFrame, k: int) -> pd.DataFrame:
+def _closest(grp, queries: pd.DataFrame, members: pd.DataFrame, k: int, barred=None) -> pd.DataFrame:
     """The k best members for every query; ties go to the smaller key.
 
+    ``barred`` tells for a slice of the queries which members they do not meet, by default those of their own key.
     A matrix product screens all pairs; only those that may be among the best are measured exactly.
     """
     qkeys, mkeys = queries["key"].to_numpy(), members["key"].to_numpy()
@@ -193,7 +222,7 @@ def _closest(grp, queries: pd.DataFrame, members: pd.DataFrame, k: int) -> pd.Da
         q, keys = a[start:start + step], qkeys[start:start + step]
         qq = np.einsum("qd,qd->q", q, q)
         rough = np.maximum(qq[:, None] + bb[None, :] - 2.0 * (q @ b.T), 0.0)
-        rough[keys[:, None] == mkeys[None, :]] = np.inf
+        rough[keys[:, None] == mkeys[None, :] if barred is None else barred(slice(start, start + step))] = np.inf
         edge = np.partition(rough, k - 1, axis=1)[:, k - 1] if rough.shape[1] > k else np.full(len(q), np.inf)
         # room for what rounding does to the product and to ties
         room = 1e-10 * (qq + bb.max()) + 4.0 * 10.0 ** -TIE_PLACES * np.sqrt(np.where(np.isfinite(edge), edge, 0.0)) + 1e-16
@@ -218,7 +247,7 @@ def _search_home(k: int):
 
 
 def _route(queries: DataFrame, pivots: list, cells: list, k: int, probes: int | None) -> DataFrame:
-    """One row per query and cell that may hold a closer point."""
+    """One row per query and tile with a cell that may hold a closer point; with ``probes``, also which cells these are."""
     centres = dict(pivots)
     shape = {}
     for g in centres:
@@ -227,13 +256,14 @@ def _route(queries: DataFrame, pivots: list, cells: list, k: int, probes: int |
             np.array([c["cell"] for c in own], dtype="int32"),
             np.array([c["radius"] for c in own]),
             np.array([c["inner"] for c in own]),
-            np.array([c["subs"] for c in own], dtype="int32"),
+            np.array([c["first"] for c in own], dtype="int64"),
+            np.array([c["tiles"] for c in own], dtype="int64"),
         )
 
     def route(batches):
         for batch in batches:
             for g, part in batch.groupby("grp"):
-                ids, radius, inner, subs = shape[g]
+                ids, radius, inner, first, tiles = shape[g]
                 far = np.where(part["have"].fillna(0).to_numpy() >= k, part["far"].to_numpy(dtype=float), np.inf)
                 for piece, gaps in _gaps(np.stack(part["v"].to_numpy()), centres[g][ids]):
                     nearest_possible = np.maximum(gaps - radius, inner - gaps)
@@ -242,35 +272,48 @@ def _route(queries: DataFrame, pivots: list, cells: list, k: int, probes: int |
                     if probes is not None and probes < gaps.shape[1]:
                         near &= gaps <= np.partition(gaps, probes - 1, axis=1)[:, probes - 1:probes]
                     q, c = np.nonzero(near)
-                    rows = part.iloc[piece].iloc[q]
+                    # every tile of each cell, then each tile once
+                    n, width = tiles[c], int((first + tiles).max())
+                    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    met, cell = np.repeat(q * width + first[c], n) + nth, np.repeat(ids[c], n)
+                    order = np.argsort(met, kind="stable")
+                    met, begin = np.unique(met[order], return_index=True)
+                    rows = part.iloc[piece].iloc[met // width]
                     yield pd.DataFrame({
                         "grp": rows["grp"].to_numpy(), "key": rows["key"].to_numpy(), "v": rows["v"].to_numpy(),
                         "from_cell": rows["cell"].to_numpy(), "from_sub": rows["sub"].to_numpy(),
-                        "cell": ids[c], "subs": subs[c],
+                        "from_tile": rows["tile"].to_numpy(), "tile": (met % width).astype("int32"),
+                        "cells": None if probes is None else np.split(cell[order], begin[1:]) if len(met) else [],
                     })
 
     grp = queries.schema["grp"].dataType.simpleString()
     return queries.mapInPandas(
-        route, f"grp {grp}, key bigint, v array<double>, from_cell int, from_sub int, cell int, subs int"
+        route, f"grp {grp}, key bigint, v array<double>, from_cell int, from_sub int, from_tile int, tile int, cells array<int>"
     )
 
 
 def _search_others(routes: DataFrame, members: DataFrame, k: int, schema: str) -> DataFrame:
-    """Search the routed blocks; queries of one block against members of another."""
-    pair = ["grp", "cell", "sub", "from_cell", "from_sub"]
-    blocks = routes.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).filter(
-        (F.col("cell") != F.col("from_cell")) | (F.col("sub") != F.col("from_sub"))
-    )
-    met = blocks.select("grp", "cell", "sub", F.col("from_cell").alias("fc"), F.col("from_sub").alias("fs")).distinct()
-    targets = members.select("grp", "cell", "sub", "key", "v").join(met, ["grp", "cell", "sub"])
+    """Search the routed tiles; queries of one tile against members of another, or of other blocks of their own."""
+    pair = ["grp", "tile", "from_tile"]
+    met = routes.select("grp", "tile", F.col("from_tile").alias("ft")).distinct()
+    targets = members.select("grp", "cell", "sub", "tile", "key", "v").join(met, ["grp", "tile"])
 
-    def search(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        if queries.empty or block.empty:
+    def search(queries: pd.DataFrame, tile: pd.DataFrame) -> pd.DataFrame:
+        if queries.empty or tile.empty:
             return pd.DataFrame({"grp": [], "key": [], "neighbour": [], "distance": []})
-        return _closest(queries["grp"].iloc[0], queries, block, k)
+        cell, sub = tile["cell"].to_numpy(), tile["sub"].to_numpy()
+        own_cell, own_sub = queries["from_cell"].to_numpy(), queries["from_sub"].to_numpy()
+        allowed = queries["cells"].to_numpy()
+
+        def barred(rows: slice) -> np.ndarray:
+            # the own block has been searched
+            out = (own_cell[rows, None] == cell[None, :]) & (own_sub[rows, None] == sub[None, :])
+            if allowed[0] is not None:
+                out |= np.stack([~np.isin(cell, a) for a in allowed[rows]])
+            return out
+
+        return _closest(queries["grp"].iloc[0], queries, tile, k, barred)
 
-    left = blocks.select(*pair, "key", "v").groupBy(*pair)
-    right = targets.select(
-        "grp", "cell", "sub", F.col("fc").alias("from_cell"), F.col("fs").alias("from_sub"), "key", "v"
-    ).groupBy(*pair)
+    left = routes.select(*pair, "key", "v", "from_cell", "from_sub", "cells").groupBy(*pair)
+    right = targets.select("grp", "tile", F.col("ft").alias("from_tile"), "cell", "sub", "key", "v").groupBy(*pair)
     return left.cogroup(right).applyInPandas(search, schema)

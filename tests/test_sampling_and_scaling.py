@@ -5,7 +5,7 @@ import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
-from millrace.operators import sampling, scaling
+from millrace.operators import neighbours, sampling, scaling
 from millrace.operators.neighbours import nearest_neighbours
 from millrace.plans.hashed import flag_lowest
 
@@ -57,6 +57,54 @@ def test_neighbours_equal_brute_force(spark, block_rows):
     assert rows_of(found, "g", "key", "rank", "neighbour") == sorted(expected, key=repr)
 
 
+def test_small_blocks_do_not_multiply_the_routes(spark, monkeypatch):
+    """Vectors that no cell separates go to each tile once, not to each block."""
+    rng = np.random.default_rng(1)
+    n, k, tile = 300, 3, 100
+    v = rng.normal(size=(n, 24))
+    df = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(n)], "id bigint, v array<double>").repartition(3)
+    routed = []
+
+    def counted(*args):
+        routed.append(route(*args))
+        return routed[-1]
+
+    route = neighbours._route
+    monkeypatch.setattr(neighbours, "_route", counted)
+    monkeypatch.setattr(neighbours, "TILE_ROWS", tile, raising=False)
+    found = nearest_neighbours(df, "id", "v", k, block_rows=8)
+    gaps = np.linalg.norm(v[:, None] - v[None], axis=2)
+    expected = [(i, r + 1, int(j)) for i in range(n) for r, j in enumerate([j for j in np.argsort(gaps[i]) if j != i][:k])]
+    assert rows_of(found, "key", "rank", "neighbour") == sorted(expected, key=repr)
+    # greedy filling leaves tiles at least half full, but for the last
+    assert routed[0].count() <= n * (2 * n / tile + 1)
+
+
+def test_probes_meet_the_own_block_and_the_nearest_cells_only(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    n, k = 200, 3
+    v = rng.normal(size=(n, 12))
+    df = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(n)], "id bigint, v array<double>").repartition(3)
+    seen = {}
+
+    def kept(points, pivots, block_rows):
+        seen["placed"], seen["pivots"] = place(points, pivots, block_rows), pivots
+        return seen["placed"]
+
+    place = neighbours._place
+    monkeypatch.setattr(neighbours, "_place", kept)
+    found = nearest_neighbours(df, "id", "v", k, block_rows=10, probes=2)
+    rows = seen["placed"].withColumn("sub", neighbours._sub("key", F.col("subs"))).collect()
+    block, cell = {r.key: (r.cell, r["sub"]) for r in rows}, {r.key: r.cell for r in rows}
+    centres, used = dict(seen["pivots"])[0], sorted(set(cell.values()))
+    expected = []
+    for i in range(n):
+        probed = sorted(used, key=lambda c: np.linalg.norm(v[i] - centres[c]))[:2]
+        met = [j for j in range(n) if j != i and (block[j] == block[i] or cell[j] in probed)]
+        expected += [(i, r + 1, j) for r, j in enumerate(sorted(met, key=lambda j: np.linalg.norm(v[i] - v[j]))[:k])]
+    assert rows_of(found, "key", "rank", "neighbour") == sorted(expected, key=repr)
+
+
 def test_neighbours_of_a_tiny_group(spark):
     df = spark.createDataFrame([(1, [0.0]), (2, [1.0]), (3, [5.0])], "id bigint, v array<double>")
     found = nearest_neighbours(df, "id", "v", 5)
