@@ -6,8 +6,8 @@ every script is covered and nothing is out of vocabulary.
 
 Training counts n-grams and joins counts, all in tables sharded by their codes: counts of
 the highest order, continuation counts of the lower ones, totals per context, and the
-probabilities of one order with those of the order below.  It reads at most ``max_train``
-trusted documents; that bound is a parameter.
+probabilities of one order with those of the order below.  It reads one half of all trusted
+documents, the other half sets the limits.
 
 Scoring joins each position of each text with the model.  A shard of the model holds the
 n-grams and contexts of some *previous bytes*, so a position needs one shard only, and
@@ -18,7 +18,7 @@ trusted documents that were not trained on, for each language.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from math import ceil, log2
 
 import numpy as np
@@ -157,7 +157,22 @@ class Shard:
         return out
 
 
-def shards_of(model: DataFrame, limit: int = SHARD_ENTRIES) -> list[Shard]:
+class Shards(Sequence):
+    """Shards of a model, each brought to the driver when it is asked for and not kept there."""
+
+    def __init__(self, common: DataFrame, rest: DataFrame, own: list[list[int]]):
+        self._common, self._rest, self._own = common, rest, own
+
+    def __len__(self) -> int:
+        return len(self._own)
+
+    def __getitem__(self, s: int) -> Shard:
+        own = self._own[s]
+        table = self._common.unionByName(self._rest.filter(F.col("byte").isin(own)).drop("byte")).toArrow()
+        return Shard(table, np.isin(np.arange(256), own))
+
+
+def shards_of(model: DataFrame, limit: int = SHARD_ENTRIES) -> Shards:
     """Cut a model into shards of at most about ``limit`` entries by the previous byte.
 
     Entries of order 1 belong to all shards.  One row per byte decides on the cuts.
@@ -171,12 +186,7 @@ def shards_of(model: DataFrame, limit: int = SHARD_ENTRIES) -> list[Shard]:
     for b in sorted(range(256), key=lambda b: -sizes.get(b, 0)):
         place[b] = min(range(n_shards), key=loads.__getitem__)
         loads[place[b]] += sizes.get(b, 0)
-    shards = []
-    for s in range(n_shards):
-        own = [b for b in range(256) if place[b] == s]
-        table = common.unionByName(rest.filter(F.col("byte").isin(own)).drop("byte")).toArrow()
-        shards.append(Shard(table, np.isin(np.arange(256), own)))
-    return shards
+    return Shards(common, rest, [[b for b in range(256) if place[b] == s] for s in range(n_shards)])
 
 
 def _score(shard):
@@ -211,7 +221,6 @@ def perplexities(rows: DataFrame, model: DataFrame) -> DataFrame:
     return total.groupBy("row").agg(F.sum("bits").alias("bits"), F.first("positions").alias("positions"))
 
 
-TRAIN_DOCUMENTS = 8_000
 LEAST_TRUSTED = 20
 #: positions of the language's median that every text is given, so short texts are not judged by chance
 PRIOR = 100
@@ -248,13 +257,13 @@ def _with_fences(rows: DataFrame, fences: DataFrame) -> DataFrame:
 
 
 def classify(
-    docs: DataFrame, trusted: DataFrame, carry: list[str] | None = None, max_train: int = TRAIN_DOCUMENTS,
+    docs: DataFrame, trusted: DataFrame, carry: list[str] | None = None, max_train: int | None = None,
     reach: float = 3.0, loss: float = 0.01, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
 ) -> DataFrame:
     """One row per row of ``docs``: ``doc struct<carried columns>, bits_per_byte, perplexity, low, high, kept``.
 
-    ``trusted`` has one column of ids of trusted documents.  Half of them by hash, at most
-    ``max_train``, train the model; the others give quantiles of bits per byte for each
+    ``trusted`` has one column of ids of trusted documents.  Half of them by hash
+    train the model, all unless ``max_train`` bounds them; the others give quantiles of bits per byte for each
     language, and so its limits: the quantiles that leave half of ``loss`` of these documents
     below and half above.  So few documents that this is less than one of them do not show these
     quantiles: there ``high`` lies ``reach`` times as far above the median as the 99th percentile,
@@ -273,10 +282,13 @@ def classify(
 
     known = trusted.select(trusted[trusted.columns[0]].cast("bigint").alias("id")).filter("id IS NOT NULL").distinct()
     known = known.withColumn("h", F.xxhash64(F.lit(seed), "id"))
-    training = known.filter(F.col("h").bitwiseAND(1) == 0).orderBy("h").limit(max_train).select("id")
-    training = written(training, "training-ids")
-    # at most max_train ids
-    texts = rows.join(F.broadcast(training), "id", "left_semi").select("text")
+    training = known.filter(F.col("h").bitwiseAND(1) == 0)
+    if max_train is not None:
+        training = training.orderBy("h").limit(max_train)
+    training = written(training.select("id"), "training-ids")
+    # ids grow with the documents; only texts of the half that their hash puts there are shuffled
+    half = rows.filter(F.xxhash64(F.lit(seed), "id").bitwiseAND(1) == 0)
+    texts = half.join(training, "id", "left_semi").select("text")
     if not training.limit(1).count() or not texts.limit(1).count():
         none = F.lit(None).cast("double")
         return rows.select("doc", none.alias("bits_per_byte"), none.alias("perplexity"), none.alias("low"),

@@ -201,6 +201,23 @@ def test_limits_are_quantiles_of_held_out_documents(spark):
     assert 1 <= held_out.filter("NOT kept").count() <= 0.01 * held_out.count()
 
 
+def test_model_is_trained_on_all_trusted_documents_of_its_half(spark, monkeypatch):
+    docs = spark.range(17_000).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    half = docs.filter(F.xxhash64(F.lit(0), "doc_id").bitwiseAND(1) == 0).count()
+    read = []
+
+    def counted(texts):
+        read.append(texts.count())
+        return train(texts)
+
+    monkeypatch.setattr(quality, "train", counted)
+    classify(docs, docs.select("doc_id"))
+    assert half > 8_000
+    classify(docs, docs.select("doc_id"), max_train=100)
+    assert read == [half, 100]
+
+
 def test_classifier_without_trusted_or_documents(spark):
     docs = quality_docs(spark)
     none = spark.createDataFrame([], "doc_id bigint")
