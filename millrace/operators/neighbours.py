@@ -135,13 +135,16 @@ def _search_cells(points: DataFrame, sizes: DataFrame, k: int, block_rows: int,
 
 
 def _tiled(cells: list, block_rows: int) -> list[dict]:
-    """Each cell with its first tile and the number of them: neighbouring numbers share a tile while there is room."""
-    room = max(TILE_ROWS, block_rows)
+    """Each cell with its first tile and the number of them.
+
+    Where blocks are small, cells share a tile while there is room; blocks of the size of a tile are tiles themselves.
+    """
+    room, shared = max(TILE_ROWS, block_rows), block_rows < TILE_ROWS
     out, filled, used = [], {}, {}
     for c in sorted(cells, key=lambda c: c["cell"]):
         g, n = c["grp"], c["n"]
         tiles = min(c["subs"], ceil(n / room))
-        if tiles > 1 or g not in used or filled[g] + n > room:
+        if not shared or tiles > 1 or g not in used or filled[g] + n > room:
             first = used.get(g, 0)
             used[g] = first + tiles
             # the tiles of a large cell are its own
