@@ -26,6 +26,8 @@ PIVOTS = 4_096  # over all groups together
 TILE_ROWS = 2_048  # of blocks that are searched together, where a block is not larger
 TIE_PLACES = 9  # distances equal to so many places are ties, broken by key
 _CHUNK_CELLS = 4_000_000  # doubles held at once while distances are computed
+_PRODUCT_CELLS = 250_000  # entries of a matrix product screened at once: they stay in the cache
+_CROWDED = 8  # times k: a query that many members come close to is held to the best k of them before these are measured
 
 
 def nearest_neighbours(
@@ -183,8 +185,10 @@ def _place(points: DataFrame, pivots: list, block_rows: int) -> DataFrame:
     def assign(batches):
         for batch in batches:
             for g, part in batch.groupby("grp"):
-                for rows, gaps in _gaps(np.stack(part["v"].to_numpy()), lookup[g]):
-                    yield part.iloc[rows].assign(cell=gaps.argmin(axis=1).astype("int32"), off=gaps.min(axis=1))
+                points, centres = np.stack(part["v"].to_numpy()), lookup[g]
+                near = np.concatenate([rough.argmin(axis=1) for _, rough, _ in _products(points, centres)])
+                diff = points - centres[near]
+                yield part.assign(cell=near.astype("int32"), off=np.sqrt(np.einsum("nd,nd->n", diff, diff)))
 
     fields = points.schema
     grp = fields["grp"].dataType.simpleString()
@@ -210,26 +214,57 @@ def _gaps(a: np.ndarray, b: np.ndarray):
         yield rows, np.sqrt(np.einsum("qmd,qmd->qm", diff, diff))
 
 
-def _closest(grp, queries: pd.DataFrame, members: pd.DataFrame, k: int, barred=None) -> pd.DataFrame:
+def _products(a: np.ndarray, b: np.ndarray):
+    """Squared distances by a matrix product: ``(slice of a, squares, the most that rounding adds or takes per row)``."""
+    bb = np.einsum("md,md->m", b, b)
+    step = max(1, _PRODUCT_CELLS // max(1, len(b)))
+    for start in range(0, len(a), step):
+        rows = slice(start, start + step)
+        q = a[rows]
+        qq = np.einsum("qd,qd->q", q, q)
+        rough = q @ (-2.0 * b.T)
+        rough += qq[:, None]
+        rough += bb[None, :]
+        yield rows, np.maximum(rough, 0.0, out=rough), 1e-15 * (q.shape[1] + 4) * (qq + np.fmax.reduce(bb, initial=0.0))
+
+
+def _closest(
+    grp, queries: pd.DataFrame, members: pd.DataFrame, k: int, barred=None, bound: np.ndarray | None = None
+) -> pd.DataFrame:
     """The k best members for every query; ties go to the smaller key.
 
     ``barred`` tells for a slice of the queries which members they do not meet, by default those of their own key.
+    ``bound`` is a distance per query beyond which no member is wanted: those of a tile are mostly farther.
     A matrix product screens all pairs; only those that may be among the best are measured exactly.
     """
     qkeys, mkeys = queries["key"].to_numpy(), members["key"].to_numpy()
     a, b = np.stack(queries["v"].to_numpy()), np.stack(members["v"].to_numpy())
-    bb = np.einsum("md,md->m", b, b)
+    largest = np.einsum("md,md->m", b, b).max(initial=0.0)
     parts = []
-    step = max(1, _CHUNK_CELLS // len(b))
-    for start in range(0, len(a), step):
-        q, keys = a[start:start + step], qkeys[start:start + step]
+    for rows, rough, _ in _products(a, b):
+        q, keys = a[rows], qkeys[rows]
         qq = np.einsum("qd,qd->q", q, q)
-        rough = np.maximum(qq[:, None] + bb[None, :] - 2.0 * (q @ b.T), 0.0)
-        rough[keys[:, None] == mkeys[None, :] if barred is None else barred(slice(start, start + step))] = np.inf
-        edge = np.partition(rough, k - 1, axis=1)[:, k - 1] if rough.shape[1] > k else np.full(len(q), np.inf)
-        # room for what rounding does to the product and to ties
-        room = 1e-10 * (qq + bb.max()) + 4.0 * 10.0 ** -TIE_PLACES * np.sqrt(np.where(np.isfinite(edge), edge, 0.0)) + 1e-16
-        at, to = np.nonzero((rough <= (edge + room)[:, None]) & np.isfinite(rough))
+        out = keys[:, None] == mkeys[None, :] if barred is None else barred(rows)
+        if out is not None:
+            rough[out] = np.inf
+
+        def screened(which, edge: np.ndarray):
+            # room for what rounding does to the product and to ties
+            room = 1e-10 * (qq[which] + largest) + 4.0 * 10.0 ** -TIE_PLACES * np.sqrt(np.where(np.isfinite(edge), edge, 0.0)) + 1e-16
+            return rough[which] <= (edge + room)[:, None]
+
+        edge = np.full(len(q), np.inf) if bound is None else bound[rows] ** 2
+        close = screened(slice(None), edge) if bound is not None else None
+        crowded = np.arange(len(q)) if close is None else np.flatnonzero(close.sum(axis=1) > _CROWDED * k)
+        if rough.shape[1] > k and len(crowded):
+            edge[crowded] = np.minimum(edge[crowded], np.partition(rough[crowded], k - 1, axis=1)[:, k - 1])
+            if close is not None:
+                close[crowded] = screened(crowded, edge[crowded])
+        if close is None:
+            close = screened(slice(None), edge)
+        at, to = np.nonzero(close)
+        met = np.isfinite(rough[at, to])
+        at, to = at[met], to[met]
         diff = q[at] - b[to]
         exact = np.sqrt(np.einsum("nd,nd->n", diff, diff))
         order = np.lexsort((mkeys[to], np.round(exact, TIE_PLACES), at))
@@ -263,15 +298,22 @@ def _route(queries: DataFrame, pivots: list, cells: list, k: int, probes: int |
             np.array([c["tiles"] for c in own], dtype="int64"),
         )
 
+    def measured(points: np.ndarray, others: np.ndarray):
+        if probes is not None:
+            # which cells are the nearest is told by exact distances
+            yield from ((rows, gaps, 0.0) for rows, gaps in _gaps(points, others))
+        else:
+            yield from ((rows, np.sqrt(squares), np.sqrt(error)) for rows, squares, error in _products(points, others))
+
     def route(batches):
         for batch in batches:
             for g, part in batch.groupby("grp"):
                 ids, radius, inner, first, tiles = shape[g]
                 far = np.where(part["have"].fillna(0).to_numpy() >= k, part["far"].to_numpy(dtype=float), np.inf)
-                for piece, gaps in _gaps(np.stack(part["v"].to_numpy()), centres[g][ids]):
+                for piece, gaps, slack in measured(np.stack(part["v"].to_numpy()), centres[g][ids]):
                     nearest_possible = np.maximum(gaps - radius, inner - gaps)
                     # a little slack keeps rounding from hiding a tie
-                    near = nearest_possible <= far[piece, None] + 10.0 ** -TIE_PLACES
+                    near = nearest_possible <= (far[piece] + 10.0 ** -TIE_PLACES + slack)[:, None]
                     if probes is not None and probes < gaps.shape[1]:
                         near &= gaps <= np.partition(gaps, probes - 1, axis=1)[:, probes - 1:probes]
                     q, c = np.nonzero(near)
@@ -282,21 +324,26 @@ def _route(queries: DataFrame, pivots: list, cells: list, k: int, probes: int |
                     order = np.argsort(met, kind="stable")
                     met, begin = np.unique(met[order], return_index=True)
                     rows = part.iloc[piece].iloc[met // width]
+                    bound = far[piece][met // width]
                     yield pd.DataFrame({
                         "grp": rows["grp"].to_numpy(), "key": rows["key"].to_numpy(), "v": rows["v"].to_numpy(),
                         "from_cell": rows["cell"].to_numpy(), "from_sub": rows["sub"].to_numpy(),
-                        "from_tile": rows["tile"].to_numpy(), "tile": (met % width).astype("int32"),
+                        "from_tile": rows["tile"].to_numpy(), "tile": (met % width).astype("int32"), "bound": bound,
                         "cells": None if probes is None else np.split(cell[order], begin[1:]) if len(met) else [],
                     })
 
     grp = queries.schema["grp"].dataType.simpleString()
     return queries.mapInPandas(
-        route, f"grp {grp}, key bigint, v array<double>, from_cell int, from_sub int, from_tile int, tile int, cells array<int>"
+        route, f"grp {grp}, key bigint, v array<double>, from_cell int, from_sub int, from_tile int, tile int, "
+        "bound double, cells array<int>"
     )
 
 
 def _search_others(routes: DataFrame, members: DataFrame, k: int, schema: str) -> DataFrame:
-    """Search the routed tiles; queries of one tile against members of another, or of other blocks of their own."""
+    """Search the routed tiles; queries of one tile against members of another, or of other blocks of their own.
+
+    The distances found in a query's own block bound those that are looked for, so few tiles return rows.
+    """
     pair = ["grp", "tile", "from_tile"]
     met = routes.select("grp", "tile", F.col("from_tile").alias("ft")).distinct()
     targets = members.select("grp", "cell", "sub", "tile", "key", "v").join(met, ["grp", "tile"])
@@ -307,16 +354,18 @@ def _search_others(routes: DataFrame, members: DataFrame, k: int, schema: str) -
         cell, sub = tile["cell"].to_numpy(), tile["sub"].to_numpy()
         own_cell, own_sub = queries["from_cell"].to_numpy(), queries["from_sub"].to_numpy()
         allowed = queries["cells"].to_numpy()
+        at_home = queries["tile"].iloc[0] == queries["from_tile"].iloc[0]
 
-        def barred(rows: slice) -> np.ndarray:
-            # the own block has been searched
-            out = (own_cell[rows, None] == cell[None, :]) & (own_sub[rows, None] == sub[None, :])
+        def barred(rows: slice) -> np.ndarray | None:
+            # the own block, which lies in the own tile, has been searched
+            out = (own_cell[rows, None] == cell[None, :]) & (own_sub[rows, None] == sub[None, :]) if at_home else None
             if allowed[0] is not None:
-                out |= np.stack([~np.isin(cell, a) for a in allowed[rows]])
+                others = np.stack([~np.isin(cell, a) for a in allowed[rows]])
+                out = others if out is None else out | others
             return out
 
-        return _closest(queries["grp"].iloc[0], queries, tile, k, barred)
+        return _closest(queries["grp"].iloc[0], queries, tile, k, barred, queries["bound"].to_numpy(dtype=float))
 
-    left = routes.select(*pair, "key", "v", "from_cell", "from_sub", "cells").groupBy(*pair)
+    left = routes.select(*pair, "key", "v", "from_cell", "from_sub", "bound", "cells").groupBy(*pair)
     right = targets.select("grp", "tile", F.col("ft").alias("from_tile"), "cell", "sub", "key", "v").groupBy(*pair)
     return left.cogroup(right).applyInPandas(search, schema)

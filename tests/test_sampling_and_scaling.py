@@ -105,6 +105,28 @@ def test_probes_meet_the_own_block_and_the_nearest_cells_only(spark, monkeypatch
     assert rows_of(found, "key", "rank", "neighbour") == sorted(expected, key=repr)
 
 
+def test_other_tiles_return_only_what_is_closer_than_the_own_block(spark, monkeypatch):
+    """A tile that a query merely comes near does not send back its best k members."""
+    rng = np.random.default_rng(3)
+    n, k = 600, 4
+    v = rng.normal(size=(n, 2)) * [300.0, 30.0] + [500.0, 0.0]
+    df = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(n)], "id bigint, v array<double>").repartition(3)
+    others = []
+
+    def counted(*args):
+        others.append(search(*args))
+        return others[-1]
+
+    search = neighbours._search_others
+    monkeypatch.setattr(neighbours, "_search_others", counted)
+    monkeypatch.setattr(neighbours, "TILE_ROWS", 30)
+    found = nearest_neighbours(df, "id", "v", k, block_rows=30)
+    gaps = np.linalg.norm(v[:, None] - v[None], axis=2)
+    expected = [(i, r + 1, int(j)) for i in range(n) for r, j in enumerate([j for j in np.argsort(gaps[i]) if j != i][:k])]
+    assert rows_of(found, "key", "rank", "neighbour") == sorted(expected, key=repr)
+    assert 0 < others[0].count() <= 2 * n * k
+
+
 def test_neighbours_of_a_tiny_group(spark):
     df = spark.createDataFrame([(1, [0.0]), (2, [1.0]), (3, [5.0])], "id bigint, v array<double>")
     found = nearest_neighbours(df, "id", "v", 5)
